@@ -12,6 +12,7 @@ import json
 import os
 import re
 import struct
+from collections.abc import Callable
 
 #: White space on which regular expression engines may disagree (code points), and the start of special tokens.
 ODD_SPACES = [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]
@@ -20,7 +21,31 @@ UNUSUAL = re.compile("[" + "".join(map(chr, ODD_SPACES)) + "]|<\\|")
 UNITS = {"byte": re.compile(r" ?\S+|\s+(?!\S)|\s+"), "word": re.compile(r"[^ \t\n\r\x0b\x0c]+")}
 #: A word of Latin letters that are the same under NFC, then punctuation.
 PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-MAX_UNITS, MAX_UNIT_CHARS = 1_000_000, 48
+#: Units in each of two generations that are kept, and characters of a unit that is.
+GENERATION, MAX_UNIT_CHARS = 250_000, 48
+
+
+class _Generations(dict):
+    """The ids of units seen lately, found out when first asked for. When it is full it becomes the older generation; what is used again comes back."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+        self.encode = encode
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.older.get(unit)
+        if ids is None:
+            ids = self.encode(unit)
+            if len(unit) > MAX_UNIT_CHARS:
+                return ids
+        self[unit] = ids
+        return ids
+
+    def make_room(self) -> None:
+        if len(self) > GENERATION:
+            self.older = dict(self)
+            self.clear()
 
 
 def _byte_letters() -> dict[int, str]:
@@ -31,7 +56,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 class UnitEncoder:
-    """encode(text) gives its ids as little-endian unsigned 32-bit integers. Memory is bounded by MAX_UNITS."""
+    """encode(text) gives its ids as little-endian unsigned 32-bit integers. Memory is bounded by the generations of units."""
 
     def __init__(self, path: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,40 +70,27 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.word = BPE(model["vocab"], merges, cache_capacity=0, **suffix).tokenize
         self.units, self.lower, self.letters = UNITS[kind].findall, kind == "word", _byte_letters()
-        self.known: dict[str, bytes] = {}
+        self.known = _Generations(self._unit)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _plain(self, word: str) -> bytes:
+    def _unit(self, unit: str) -> bytes:
+        m = PLAIN.fullmatch(unit)
+        if not m:
+            return self.whole([unit])[0]
+        word, marks = m.groups()
         if self.lower:
             word = word.lower()
         ids = [x.id for x in self.word(word.encode().decode("latin-1").translate(self.letters))]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _new(self, units: list[str]) -> dict[str, bytes]:
-        plain = {u: m for u in units if (m := PLAIN.fullmatch(u))}
-        others = list({u for u in units if u not in plain} | {m[2] for m in plain.values() if m[2] and m[2] not in self.known})
-        ids = dict(zip(others, self.whole(others), strict=True)) if others else {}
-        for u, m in plain.items():
-            ids[u] = self._plain(m[1]) + ((ids.get(m[2]) or self.known[m[2]]) if m[2] else b"")
-        return ids
+        raw = struct.pack(f"<{len(ids)}I", *ids)
+        return raw + (self.known[marks] if marks != "" and marks != unit else b"")
 
     def encode(self, text: str) -> bytes:
         if UNUSUAL.search(text):
             return self.whole([text])[0]
-        units, known = self.units(text), self.known
-        try:
-            return b"".join(map(known.__getitem__, units))
-        except KeyError:
-            pass
-        new = [u for u in set(units) if u not in known]
-        if len(known) + len(new) > MAX_UNITS:
-            known.clear()
-            new = list(set(units))
-        ids = self._new(new)
-        known.update((u, i) for u, i in ids.items() if len(u) <= MAX_UNIT_CHARS)
-        return b"".join([ids[u] if u in ids else known[u] for u in units])
+        self.known.make_room()
+        return b"".join(map(self.known.__getitem__, self.units(text)))
 
 
 _by_path: dict[tuple[str, str], UnitEncoder] = {}
