@@ -203,10 +203,22 @@ def judge(docs: DataFrame, rules: list[Rule], keep: tuple[str, ...] = ()) -> Dat
     return statistics(docs, keep=keep).withColumn("base_failed", base_failed()).withColumn("rule", rejected_by(rules)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
+def measured(text: Column) -> Column:
+    """struct of COUNTS and MORE: only the text goes to Python; a row's other columns stay in the JVM."""
+
+    @F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in (*COUNTS, *MORE)]))
+    def run(texts: pa.Array) -> pa.Array:
+        rows = [measure(t.as_py() or "") for t in texts]
+        columns = zip(*rows, strict=True) if rows else [[] for _ in (*COUNTS, *MORE)]
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[*COUNTS, *MORE])
+
+    return run(text.cast("string"))
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs without the rows that the base or a learned rule rejects; all columns stay, also odd names, nulls and repeated rows."""
+    workers_find_us(docs.sparkSession)
     rules = fit(docs, labels, sample)
-    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__all"), "doc_id", "text")
-    return judge(plain, rules, keep=("__all",)).filter("kept").select("__all.*")
-
-
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__all"), measured(F.col("text")).alias("__m"))
+    flat = whole.select("__all", "__m.*")
+    return flat.filter(~base_failed() & rejected_by(rules).isNull()).select("__all.*")
