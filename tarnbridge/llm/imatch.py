@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import NOT_WORD, cut
 
 #: Subsets: a term is in one of level n with chance 1 / 2**n; REPLICAS subsets of each level.
-LEVELS, REPLICAS = (0, 2, 3, 4, 5, 6, 7, 9), 3
+LEVELS, REPLICAS = tuple(range(11)), 6
 #: The band: a term's share of all documents, at least and at most.
 RAREST, COMMONEST = 0.001, 0.2
 #: Documents in a run of neighbours, and runs at most; segments of equal numbers of documents for placing the runs.
