@@ -20,7 +20,7 @@ UNUSUAL = re.compile("[" + "".join(map(chr, ODD_SPACES)) + "]|<\\|")
 #: kind -> the units: a byte-level tokenizer joins one blank to the word after it; a word tokenizer drops white space.
 UNITS = {"byte": re.compile(r" ?\S+|\s+(?!\S)|\s+"), "word": re.compile(r"[^ \t\n\r\x0b\x0c]+")}
 #: A word of Latin letters that are the same under NFC, then punctuation.
-PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#*$%&]*)")
 #: Units in each of two generations that are kept, and characters of a unit that is.
 GENERATION, MAX_UNIT_CHARS = 250_000, 48
 
@@ -82,9 +82,10 @@ class UnitEncoder:
         word, marks = m.groups()
         if self.lower:
             word = word.lower()
+        if word != unit:  # the word's ids serve it with any punctuation
+            return self.known[word] + (self.known[marks] if marks else b"")
         ids = [x.id for x in self.word(word.encode().decode("latin-1").translate(self.letters))]
-        raw = struct.pack(f"<{len(ids)}I", *ids)
-        return raw + (self.known[marks] if marks != "" and marks != unit else b"")
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         if UNUSUAL.search(text):
