@@ -185,3 +185,9 @@ def test_instead_of_trigger_and_abort(spark):
         changes.apply_change(t, changes.insert_batch("t", t), ["k"], [changes.Handler(frozenset({"INSERT"}), refuse)])
     batch = changes.update_batch("t", t, spark.createDataFrame([(1, "z")], "k int, v string"), ["k"])
     assert [tuple(r) for r in changes.changed_columns(batch, ["k"]).collect()] == [(1, "v", "a", "z")]
+
+
+def test_break_and_continue_leave_and_repeat_the_innermost_loop(spark):
+    p = translate_routine("CREATE PROCEDURE dbo.p AS BEGIN DECLARE @i INT = 0, @odd INT = 0; WHILE 1 = 1 BEGIN SET @i = @i + 1; IF @i > 6 BREAK; IF @i % 2 = 0 CONTINUE; SET @odd = @odd + @i END SELECT @i AS i, @odd AS odd END")
+    assert not p.warnings
+    assert tuple(spark.sql(p.sql).first()) == (7, 9)
