@@ -9,11 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from uuid import uuid4
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import shared_dir, workers_find_us
+from .token_ids import encoder
+
 #: A leaf is (domain, language, source).
 LEVELS = ("domain", "lang", "source")
 BYTES_PER_TOKEN = 4
@@ -71,13 +76,32 @@ def allocate(supplies: Mapping[tuple[str, ...], int], weights: Mapping[tuple[str
 
 
 def token_count(text: Column) -> Column:
-    """The measure of tokens: UTF-8 bytes over BYTES_PER_TOKEN, rounded up, at least 1. Null: 1."""
+    """An estimate without a tokenizer: UTF-8 bytes over BYTES_PER_TOKEN, rounded up, at least 1. Null: 1."""
     return F.greatest(F.ceil(F.coalesce(F.octet_length(text), F.lit(0)) / BYTES_PER_TOKEN), F.lit(1)).cast("long")
 
 
+def with_tokens(docs: DataFrame, tokenizer: str, kind: str = "byte", name: str = "__n_tokens") -> DataFrame:
+    """docs with each text's number of ids, the end id included, in the column name. Null: 1.
+
+    Written once to the shared folder and read again, since a mixture reads its documents several times.
+    """
+    spark = docs.sparkSession
+    workers_find_us(spark)
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        ids = encoder(tokenizer, kind).count
+        return pd.Series([ids(t or "") + 1 for t in texts], dtype="int64")
+
+    folder = f"{shared_dir(spark).rstrip('/')}/tokens-{uuid4().hex}"
+    docs.withColumn(name, count(F.col("text").cast("string"))).write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
 def mix(docs: DataFrame, domain: Column, weights: Mapping[tuple[str, ...], float], total: int | None = None, share: float | None = None, max_epochs: int = 4, seed: int = 17, tokens: Column | None = None, run: int = 2048) -> DataFrame:
     """docs' rows that the mixture takes, once for each epoch, with __domain, __epoch (from 0), __tokens, __budget.
 
+    tokens: each row's number of tokens; token_count's estimate where none is given.
     The budget is total tokens, or share of all tokens in docs. Null languages and sources are leaves called ''.
     A leaf with budget b and n tokens gives b // n whole epochs, and of the next the documents, in the order of a hash
     of (seed, id, content), whose running total of tokens stays within the rest. Repeated rows are rows of their own

@@ -48,7 +48,8 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(read(spark, sf_dir, "documents"), domain_of(F.col("source")), WEIGHTS, share=1.0)
+    docs = mixing.with_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    mixed = mixing.mix(docs, domain_of(F.col("source")), WEIGHTS, share=1.0, tokens=F.col("__n_tokens"))
     return mixed.select("doc_id", F.col("__domain").alias("domain"), "lang", "source", F.col("__epoch").alias("epoch"), F.col("__tokens").alias("n_tokens"), F.col("__budget").alias("leaf_budget"))
 
 

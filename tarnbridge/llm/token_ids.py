@@ -93,6 +93,13 @@ class UnitEncoder:
         self.known.make_room()
         return b"".join(map(self.known.__getitem__, self.units(text)))
 
+    def count(self, text: str) -> int:
+        """The number of encode(text)'s ids."""
+        if UNUSUAL.search(text):
+            return len(self.whole([text])[0]) // 4
+        self.known.make_room()
+        return sum(map(len, map(self.known.__getitem__, self.units(text)))) // 4
+
 
 _by_path: dict[tuple[str, str], UnitEncoder] = {}
 

@@ -204,6 +204,22 @@ def test_mixing(spark, sf):
             assert taken[k] <= b and b - taken[k] <= max(size[d] for d, t, la, s, *_ in ROWS if ("web", la or "", s) == k)
 
 
+def test_mixing_counts_real_tokens(spark, sf):
+    """op6's n_tokens and the pipeline's budgets are ids of the packing stage's tokenizer, not bytes over 4."""
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    size = {d: len(library.encode(t or "", add_special_tokens=False).ids) + 1 for d, t, *_ in ROWS}
+    got = rows(spark, sf, "op6_source_mixing")
+    supply = Counter()
+    for doc_id, _, lang, source, *_ in ROWS:
+        supply["web", lang or "", source] += size[doc_id]
+    budgets = mixing.allocate({k: 4 * v for k, v in supply.items()}, queries.WEIGHTS, sum(supply.values()))
+    assert got and all(r["n_tokens"] == size[r["doc_id"]] and r["leaf_budget"] == budgets[r["domain"], r["lang"] or "", r["source"]] for r in got)
+    packed = Counter()
+    for r in rows(spark, sf, "op2_best_fit_packing"):
+        packed[r["doc_id"]] += r["length"]
+    assert all(r["n_tokens"] == packed[r["doc_id"]] for r in got)
+
+
 def test_quality_rules(spark, sf):
     got = {r["doc_id"]: r for r in rows(spark, sf, "op7_quality_rules")}
     for doc_id, text, *_ in ROWS:
