@@ -35,10 +35,12 @@ def allocate(supplies: Mapping[tuple[str, ...], int], weights: Mapping[tuple[str
     """Tokens for each leaf, at most its supply, together total or all there is. weights: by path prefix; missing is 1.
 
     A node's budget is shared by weight among its children; a child that would exceed its subtree's supply gets that,
-    and the rest is shared anew among its siblings. Whole tokens left over go to the first children with room.
+    and the rest is shared anew among its siblings. Whole tokens left over go to the first children with room. What lies
+    under a weight of 0 gets nothing and is no supply of the nodes above it.
     """
     root = _Tree()
     for path, n in supplies.items():
+        n = n if all(weights.get(path[: i + 1], 1.0) > 0 for i in range(len(path))) else 0
         node = root
         node.supply += n
         for part in path:

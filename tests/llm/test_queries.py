@@ -186,6 +186,14 @@ def test_mixing_budgets():
     assert sum(mixing.allocate(supply, {}, 10**9).values()) == 1110
 
 
+def test_mixing_budgets_with_a_zero_weight():
+    supply = {("web", "de"): 900, ("web", "en"): 100, ("forum", "en"): 1000}
+    out = mixing.allocate(supply, {("web", "de"): 0}, 800)
+    assert out == {("web", "de"): 0, ("web", "en"): 100, ("forum", "en"): 700}  # what web cannot give goes to forum
+    assert sum(mixing.allocate(supply, {("web", "de"): 0}, 10**9).values()) == 1100
+    assert mixing.allocate(supply, {("web",): 0}, 1500) == {("web", "de"): 0, ("web", "en"): 0, ("forum", "en"): 1000}
+
+
 def test_mixing(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for share, epochs in ((1.0, 4), (0.5, 1), (2.5, 3)):
