@@ -20,6 +20,11 @@ from .common import NOT_WORD, words_of
 #: The phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
+#: More phrases and their labels; they feed labels, not the base columns. Where several begin at a word, the longest counts. A version may follow.
+SHORT = {
+    "cc by": "cc-by", "cc by sa": "cc-by-sa", "cc by nc": "cc-by-nc", "cc by nd": "cc-by-nd", "cc by nc sa": "cc-by-nc-sa", "cc by nc nd": "cc-by-nc-nd",
+}
+
 #: Passages of well-known license texts and the labels they stand for.
 PASSAGES = {
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
@@ -38,28 +43,28 @@ COMMON = frozenset("a an and any are as at by for from in is it not of on or tha
 GRAM, SLACK, ENOUGH = 2, 4, 0.6
 
 
-def _template_rows(phrases: dict[str, str], passages: dict[str, str]) -> list[tuple[int, str, bool, int, str, str]]:
-    """(template, label, is a phrase, place of the 2-gram, its two words)."""
+def _template_rows(phrases: dict[str, str], passages: dict[str, str], short: dict[str, str]) -> list[tuple[int, str, bool, bool, int, str, str]]:
+    """(template, label, is a phrase, feeds the base columns, place of the 2-gram, its two words)."""
     rows = []
-    for number, (text, label, phrase) in enumerate([*((p, lab, True) for p, lab in phrases.items()), *((p, lab, False) for lab, p in passages.items())]):
+    for number, (text, label, phrase, base) in enumerate([*((p, lab, True, True) for p, lab in phrases.items()), *((p, lab, False, False) for lab, p in passages.items()), *((p, lab, True, False) for p, lab in short.items())]):
         words = [w for w in re.split(NOT_WORD, text.lower()) if w]
         if len(words) < GRAM:
             raise ValueError(f"a template needs {GRAM} words: {text}")
-        rows += [(number, label, phrase, i, a, b) for i, (a, b) in enumerate(zip(words, words[1:], strict=False)) if phrase or not (a in COMMON and b in COMMON)]
+        rows += [(number, label, phrase, base, i, a, b) for i, (a, b) in enumerate(zip(words, words[1:], strict=False)) if phrase or not (a in COMMON and b in COMMON)]
     return rows
 
 
-def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, passages: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, passages: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", short: dict[str, str] | None = None) -> DataFrame:
     """One row for every row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
-    n_base: all places of phrases; first_word, last_word: the smallest and largest word at which one starts (null: none).
-    labels: of phrases and passages. score: the largest share of a template found (1 for a phrase, else 0 to 1).
+    n_base: all places of phrases, short ones aside; first_word, last_word: the smallest and largest word at which one starts (null: none).
+    labels: of phrases, short ones too, and passages. score: the largest share of a template found (1 for a phrase, else 0 to 1).
     spans: of (label, start, end word, share), sorted. A null or empty text has no words and no spans. A row that
     repeats comes back as often. Other columns are left out; they may have any name.
     """
     spark = docs.sparkSession
-    templates = _template_rows(phrases if phrases is not None else PHRASES, passages if passages is not None else PASSAGES)
-    grams = spark.createDataFrame([(*t, sum(x[0] == t[0] for x in templates)) for t in templates], "template int, label string, phrase boolean, t_pos int, first string, second string, n_grams int").withColumn("h", F.xxhash64("first", "second"))
+    templates = _template_rows(phrases if phrases is not None else PHRASES, passages if passages is not None else PASSAGES, short if short is not None else SHORT)
+    grams = spark.createDataFrame([(*t, sum(x[0] == t[0] for x in templates)) for t in templates], "template int, label string, phrase boolean, base boolean, t_pos int, first string, second string, n_grams int").withColumn("h", F.xxhash64("first", "second"))
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     split = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), words_of(text).alias("words"))
@@ -69,22 +74,26 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, passag
     same = (F.get("words", F.col("at") - 1) == F.col("first")) & (F.get("words", F.col("at")) == F.col("second"))
     # the templates are the code's own, a few hundred rows
     joined = rolled.join(F.broadcast(grams), "h", "left").filter((F.col("at") == 0) | same)
-    hits = joined.select("doc_id", "text_hash", "n_words", F.when(F.col("at") > 0, F.col("template")).alias("template"), "label", "phrase", "n_grams", "t_pos", (F.col("at") - 1 - F.col("t_pos")).cast("long").alias("diagonal"))
+    hits = joined.select("doc_id", "text_hash", "n_words", F.when(F.col("at") > 0, F.col("template")).alias("template"), "label", "phrase", "base", "n_grams", "t_pos", (F.col("at") - 1 - F.col("t_pos")).cast("long").alias("diagonal"))
     # few rows are left; one exchange serves all that follows
     hits = hits.repartition("doc_id", "text_hash")
 
     doc = ["doc_id", "text_hash"]
     by_diagonal = hits.groupBy(*doc, "template", "diagonal").agg(
-        F.max("n_words").alias("n_words"), F.count("*").alias("votes"), F.max("label").alias("label"), F.max("phrase").alias("phrase"), F.max("n_grams").alias("n_grams"), F.collect_set("t_pos").alias("places"),
+        F.max("n_words").alias("n_words"), F.count("*").alias("votes"), F.max("label").alias("label"), F.max("phrase").alias("phrase"), F.max("base").alias("base"), F.max("n_grams").alias("n_grams"), F.collect_set("t_pos").alias("places"),
     )
     in_order = W.partitionBy(*doc, "template").orderBy("diagonal")
     fresh = F.when(~F.col("phrase") & (F.col("diagonal") - F.lag("diagonal").over(in_order) <= SLACK), 0).otherwise(1)
     spans = by_diagonal.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(in_order)).groupBy(*doc, "template", "span").agg(
-        F.max("n_words").alias("n_words"), F.max("votes").alias("rows"), F.max("label").alias("label"), F.max("phrase").alias("phrase"), F.max("n_grams").alias("n_grams"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min("diagonal").alias("start"),
+        F.max("n_words").alias("n_words"), F.max("votes").alias("rows"), F.max("label").alias("label"), F.max("phrase").alias("phrase"), F.max("base").alias("base"), F.max("n_grams").alias("n_grams"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min("diagonal").alias("start"),
     )
     share = F.size("places") / F.col("n_grams")
     sound = F.when(F.col("phrase"), share == 1).otherwise(share >= ENOUGH)
-    base = sound & F.col("phrase")
+    # "cc by" at the start of "cc by nc" is no license of its own
+    is_short = F.col("phrase") & ~F.col("base")
+    spans = spans.withColumn("sound", sound).withColumn("longest", F.max(F.when(is_short & F.col("sound"), F.col("n_grams"))).over(W.partitionBy(*doc, "start")))
+    sound = F.col("sound") & (~is_short | (F.col("n_grams") == F.col("longest")))
+    base = sound & F.col("base")
     span = F.struct("label", F.greatest("start", F.lit(0)).alias("start"), (F.col("start") + F.array_max("places") + GRAM - 1).alias("end"), F.round(share, 4).alias("share"))
     listed = lambda labels: F.array_join(F.array_sort(labels), ",")
     found = spans.groupBy(*doc).agg(

@@ -67,6 +67,14 @@ def test_license_scan(spark, sf):
     assert near["labels"] == "mit" and near["base_labels"] == "" and 0.8 < near["score"] < 1  # a word put in and one left out
 
 
+def test_license_scan_finds_short_creative_commons_forms(spark):
+    texts = {"Licensed under CC BY-NC 4.0.": "cc-by-nc", "CC BY 4.0": "cc-by", "x cc-by-sa y CC BY": "cc-by,cc-by-sa", "cc by nc sa": "cc-by-nc-sa", "cc and by": "", "MIT License, CC BY-ND": "cc-by-nd,mit"}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(licenses.scan_licenses(docs).collect(), key=lambda r: r["doc_id"])
+    assert [r["labels"] for r in got] == list(texts.values()) and [r["score"] for r in got] == [1, 1, 1, 1, 0, 1]
+    assert [(r["base_labels"], r["n_base"]) for r in got] == [("", 0)] * 5 + [("mit", 1)]
+
+
 def test_license_scan_keeps_repeated_rows(spark):
     twice = spark.createDataFrame([(1, "MIT License")] * 2 + [(None, None)], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["n_base"]) for r in licenses.scan_licenses(twice).collect()) == [(0, 0), (1, 1), (1, 1)]
