@@ -30,14 +30,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that begin and end a block.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 #: Elements whose content is not text of the page.
-SILENT = "head|iframe|noframes|noscript|object|script|style|svg|template|textarea|title|math|canvas|audio|video"
+SILENT = "iframe|noframes|noscript|object|script|style|svg|template|textarea|title|math|canvas|audio|video"
+#: Those of raw text: without an end tag they reach to the end of the page. The others then are as any other element.
+RAW = "iframe|noframes|script|style|textarea|title"
 #: A start tag closes these open elements, up to the nearest of the second.
 CLOSES = {
     **{t: ({"p"}, {"td", "th", "li", "dd", "button", "object"}) for t in BLOCK - {"option", "label", "button"}},
     "li": ({"li", "p"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}), "tr": ({"tr", "td", "th", "p"}, {"table"}),
     "td": ({"td", "th", "p"}, {"table", "tr"}), "th": ({"td", "th", "p"}, {"table", "tr"}), "option": ({"option"}, {"select"}), "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"}),
 }
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(" + SILENT + r")\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(" + SILENT + r")\b[^>]*?(?:/>|>.*?</\1\s*>)|<(?:" + RAW + r")\b[^>]*>.*\Z|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 HEAD = re.compile(r"<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b))", re.S | re.I)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 HIDES = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none", re.I)
@@ -113,7 +115,7 @@ def blocks(page: str) -> list[Block]:
             flush()
         elif tag == "br":
             text.append(" ")
-        if tag in VOID or m[4].endswith("/"):
+        if tag in VOID or tag == "head" or m[4].endswith("/"):  # a head that is not ended holds silent and void elements only
             continue
         names = " ".join(x for t in NAMES.findall(m[4]) for x in t if x) if m[4] else ""
         if m[4] and HIDES.search(m[4]):

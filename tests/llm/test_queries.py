@@ -154,6 +154,18 @@ def test_html_extraction(spark, sf):
     assert blocks_right > 0.98
 
 
+def test_html_with_elements_left_open():
+    """Neither a head without its end tag nor an unclosed element that is not raw text takes the rest of the page."""
+    texts = lambda page: [b.text for b in html_blocks.blocks(page)]
+    assert texts("<html><head><title>x</title><meta charset=a><style>p{}</style><p>First.<p>Second.") == ["First.", "Second."]
+    assert [b.path for b in html_blocks.blocks("<html><head><title>x</title><p>First.")] == [b.path for b in html_blocks.blocks("<html><p>First.")]
+    for tag in ("svg", "object", "video", "audio", "canvas", "math", "noscript", "template"):
+        assert texts(f"<p>First.</p><{tag} a=b><p>Second.</p>")[-1] == "Second.", tag
+        assert texts(f"<p>First.</p><{tag}>silent</{tag}><p>Second.</p>") == ["First.", "Second."], tag
+    for tag in ("script", "style", "textarea", "title", "iframe"):
+        assert texts(f"<p>First.</p><{tag}>silent <p>still") == ["First."], tag
+
+
 def test_token_files(spark, sf):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     got, start = {r["doc_id"]: r for r in rows(spark, sf, "op5_token_files")}, 0
