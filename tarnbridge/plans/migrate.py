@@ -41,8 +41,8 @@ class Report:
 
     @property
     def success(self) -> bool:
-        """No failed object, every count compared and equal but for rejected rows, no broken constraint."""
-        return not self.cancelled and not any(r.status == "failed" for r in self.results) and all(c["status"] == "match" for c in self.counts) and not any(v["n"] for v in self.violations)
+        """No failed or skipped table, every count compared and equal but for rejected rows, no broken constraint."""
+        return not self.cancelled and not any(r.status in ("failed", "skipped") for r in self.results) and all(c["status"] == "match" for c in self.counts) and not any(v["n"] for v in self.violations)
 
     def summary(self) -> dict:
         by = {s: sum(r.status == s for r in self.results) for s in ("success", "failed", "skipped")}
@@ -73,9 +73,14 @@ def copy_table(source, target, table: Table, db: Database) -> tuple[DataFrame, D
 
 
 def run_migration(spark: SparkSession, source, target, db: Database, workers: int | None = None, progress: Callable[[str, float], None] | None = None, cancelled: Callable[[], bool] = lambda: False, reset: bool = False) -> Report:
-    """Copies every table of the model from source to target and proves the result. Tables are copied side by side by driver threads."""
+    """Copies every table of the model from source to target and proves the result. Tables are copied side by side by driver threads.
+
+    Views, routines, triggers, sequences and synonyms are not created: a warning names each. success speaks of tables only.
+    """
     report = Report()
     report.warnings = plan_ddl(db, "spark")[1]
+    for kind, objects in (("view", db.views), ("routine", db.routines), ("trigger", db.triggers), ("sequence", db.sequences), ("synonym", db.synonyms)):
+        report.warnings += [f"{kind} {x.name} is not created: only tables are migrated" for x in objects]
     order, done, lock = db.in_dependency_order(), [0], threading.Lock()
     have = set(source.table_names())
     if reset:

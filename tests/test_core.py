@@ -155,6 +155,16 @@ def test_migration(spark, tmp_path):
     assert {r.name: r.status for r in run_migration(spark, source, target, db).results} == {"Orders": "skipped", "Items": "success"}
 
 
+def test_migration_tells_what_is_not_copied(spark, tmp_path):
+    table = Table("T", [Column("a", "int")])
+    source = MemoryEndpoint(spark, {"T": spark.createDataFrame([(1,)], "a int")})
+    run = lambda **more: run_migration(spark, source, ParquetEndpoint(spark, str(tmp_path)), Database("d", "tsql", **more), reset=True)
+    assert run(tables=[table]).success
+    with_view = run(tables=[table], views=[View("V", "SELECT a FROM T")])
+    assert "view V is not created: only tables are migrated" in with_view.warnings
+    assert not run(tables=[table, Table("Absent", [Column("a", "int")])]).success
+
+
 def test_endpoints_and_models(spark, tmp_path):
     cat = CatalogEndpoint(spark, "tb_ns")
     cat.write("t1", spark.range(3))
