@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import shared_dir, workers_find_us
-from .token_ids import encoder
+from .token_ids import encoder, slices
 
 SEQUENCE, BATCH_ROWS = 2048, 64
 
@@ -40,6 +40,8 @@ class SequenceWriter:
         self.writer = pa.ipc.new_file(self.file, self.schema)
 
     def append(self, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) > np.iinfo(self.dtype).max:
+            raise ValueError(f"id {ids.max()} does not fit in {self.dtype}")
         self.parts.append(ids.astype(self.dtype))
         self.held += len(ids)
         if self.held >= self.length * BATCH_ROWS:
@@ -109,7 +111,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, kind: str = "word",
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _open(folder)
         part, name = TaskContext.get().partitionId(), uuid4().hex
-        encode, end, writer, n_docs, n_ids = encoder(tokenizer, kind).encode, end_id.to_bytes(4, "little"), None, 0, 0
+        ended, writer, n_docs, n_ids = encoder(tokenizer, kind).ended, None, 0, 0
         for batch in batches:
             if writer is None:
                 fs.create_dir(root, recursive=True)
@@ -118,15 +120,12 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, kind: str = "word",
                 index_file = fs.open_output_stream(paths[1])
                 index_schema = pa.schema([("doc_id", batch.schema.field(0).type), ("start", pa.int64()), ("n_tokens", pa.int64())])
                 index = pa.ipc.new_file(index_file, index_schema)
-            starts, sizes = [], []
-            for text in batch.column(1):
-                ids = np.frombuffer(encode(text.as_py() or "") + end, "<u4")
+            for docs_ in slices(batch, 1):
+                ids, sizes = ended(docs_.column(1), end_id)
                 writer.append(ids)
-                starts.append(n_ids)
-                sizes.append(len(ids))
+                index.write_batch(pa.record_batch([docs_.column(0), pa.array(n_ids + np.cumsum(sizes) - sizes), pa.array(sizes)], schema=index_schema))
                 n_ids += len(ids)
-            n_docs += batch.num_rows
-            index.write_batch(pa.record_batch([batch.column(0), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], schema=index_schema))
+                n_docs += docs_.num_rows
         if writer is not None:
             writer.close()
             index.close()

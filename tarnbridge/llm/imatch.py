@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from .common import NOT_WORD, cut
 
-#: Subsets: a term is in one of level n with chance 1 / 2**n; REPLICAS subsets of each level.
-LEVELS, REPLICAS = tuple(range(11)), 6
+#: Subsets: a term is in one of level n with chance 1 / 2**n. REPLICAS rows of nested subsets, each drawn by LEVELS bits of a term's hash.
+LEVELS, REPLICAS = 10, 6
 #: The band: a term's share of all documents, at least and at most.
 RAREST, COMMONEST = 0.001, 0.2
-#: Documents in a run of neighbours, and runs at most; segments of equal numbers of documents for placing the runs.
-RUN, MOST_RUNS, SEGMENTS = 256, 1 << 20, 32
+#: Documents in a run of neighbours, and the most parts that the ids, and then each of these parts, are cut into.
+RUN, MOST_PARTS = 256, 1024
 
 
 def terms(text: Column) -> Column:
@@ -37,19 +37,23 @@ def lexicon(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMONES
     return cut(seen.filter((F.col("df") >= least) & (F.col("df") <= most)).select("h"))
 
 
-def _components(ordered: Column, text_hash: Column) -> Column:
-    """An array of one hash for each subset of the sorted terms: null where it has none. No terms at all: the text's own hash in all."""
+def _components(rows: DataFrame, ordered: list[str], alone: list[str], out: list[str]) -> DataFrame:
+    """rows with arrays of a hash for each subset of the sorted terms: null where it has none. No terms at all: the text's own hash in all.
 
-    def one(level: int, replica: int) -> Column:
-        if not level:
-            return F.xxhash64(ordered, F.lit(replica))
-        draw = lambda t: F.shiftrightunsigned(F.xxhash64(t, F.lit(level * 16 + replica)), 64 - level) == 0
-        part = F.filter(ordered, draw)
-        return F.when(F.size(part) > 0, F.xxhash64(part))
-
-    parts = F.array(*[one(level, r) for level in LEVELS for r in range(REPLICAS if level else 1)])
-    alone = F.array(*[text_hash for level in LEVELS for _ in range(REPLICAS if level else 1)])
-    return F.when(F.size(ordered) > 0, parts).otherwise(alone)
+    The first hash is of all terms. Each level halves the sets of the level before, so a term is looked at about twice a replica.
+    """
+    sets = {(c, r): c for c in ordered for r in range(REPLICAS)}
+    columns = rows.columns
+    for level in range(1, LEVELS + 1):
+        clear = lambda r, level=level: lambda t: t.bitwiseAND(F.lit(1 << (LEVELS * r + level - 1))) == 0
+        names = {k: f"__{k[0]}_{k[1]}" for k in sets}
+        halved = [F.filter(F.col(sets[k]), clear(k[1])).alias(names[k]) for k in sets]
+        hashed = [F.when(F.size(sets[k]) > 0, F.xxhash64(sets[k], F.lit(k[1]))).alias(f"__{k[0]}_{k[1]}_{level - 1}") for k in sets if level > 1 or not k[1]]
+        rows = rows.select(*[c for c in rows.columns if c not in names.values()], *hashed, *halved)
+        sets = names
+    parts = lambda c: F.array(F.col(f"__{c}_0_0"), *[F.col(f"__{c}_{r}_{level}") for level in range(1, LEVELS) for r in range(REPLICAS)], *[F.when(F.size(f"__{c}_{r}") > 0, F.xxhash64(f"__{c}_{r}", F.lit(r))) for r in range(REPLICAS)])
+    n = 1 + LEVELS * REPLICAS
+    return rows.select(*columns, *[F.when(F.size(c) > 0, parts(c)).otherwise(F.array_repeat(F.col(h), n)).alias(o) for c, h, o in zip(ordered, alone, out, strict=True)])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -61,49 +65,67 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def as_text(parts: Column) -> Column:
-    """The hashes' last 40 bits in hexadecimal, joined; a subset without terms is a dash."""
-    return F.array_join(F.transform(parts, lambda h: F.coalesce(F.substring(F.lower(F.lpad(F.hex(h), 16, "0")), 7, 10), F.lit("-"))), ".")
+    """The hashes in hexadecimal, joined; a subset without terms is a dash."""
+    return F.array_join(F.transform(parts, lambda h: F.coalesce(F.lower(F.lpad(F.hex(h), 16, "0")), F.lit("-"))), ".")
 
 
 def fingerprints(rows: DataFrame, key: list[str], texts: list[str], lex: DataFrame, carry: list[str], limit: int = 1_000_000) -> DataFrame:
-    """(key, carry, fp0, fp1...): arrays of hashes of the text columns. key must tell rows apart.
+    """(key, carry, fp0, fp1...): arrays of hashes of the text columns; a null text's is null. key must tell rows apart.
 
     Rows stay where they are if they are partitioned by (some of) key. lex is broadcast when it has at most limit
-    rows (its size bound makes that the rule), else joined by its hash.
+    rows (its size bound makes that the rule), else joined by its hash. Equal texts have equal fingerprints; texts that
+    have no term of lex are told apart by a hash of the whole text.
     """
-    sized = rows.select(*key, *carry, *[terms(F.col(t)).alias(f"__t{i}") for i, t in enumerate(texts)], *[F.xxhash64(F.lower(F.col(t))).alias(f"__h{i}") for i, t in enumerate(texts)])
-    ends = [sum((F.size(f"__t{j}") for j in range(i + 1)), F.lit(0)) for i in range(len(texts))]
+    each = range(len(texts))
+    sized = rows.select(*key, F.struct(*carry, *[F.xxhash64(F.lower(F.col(t))).alias(f"__h{i}") for i, t in enumerate(texts)], *[F.col(t).isNull().alias(f"__n{i}") for i, t in enumerate(texts)]).alias("__own"), *[F.coalesce(terms(F.col(t)), F.array().cast("array<string>")).alias(f"__t{i}") for i, t in enumerate(texts)])
     # place 0 stands for the row itself
-    flat = sized.select(*key, *carry, *[f"__h{i}" for i in range(len(texts))], *[e.alias(f"__e{i}") for i, e in enumerate(ends)], F.posexplode(F.concat(F.array(F.lit("")), *[F.col(f"__t{i}") for i in range(len(texts))])).alias("__at", "__term"))
-    which = F.coalesce(*[F.when(F.col("__at") <= F.col(f"__e{i}"), F.lit(i)) for i in range(len(texts))])
-    flat = flat.select(*key, *carry, *[f"__h{i}" for i in range(len(texts))], "__at", which.alias("__which"), F.xxhash64("__term").alias("h"))
+    ends = [sum((F.size(f"__t{j}") for j in range(i + 1)), F.lit(0)) for i in each]
+    flat = sized.select(*key, "__own", *[e.alias(f"__e{i}") for i, e in enumerate(ends)], F.posexplode(F.concat(F.array(F.lit("")), *[F.col(f"__t{i}") for i in each])).alias("__at", "__term"))
+    which = F.coalesce(*[F.when(F.col("__at") <= F.col(f"__e{i}"), F.lit(i)) for i in each])
+    own = F.col("__at") == 0
+    flat = flat.select(*key, F.when(own, F.col("__own")).alias("__own"), F.when(own, F.lit(-1)).otherwise(which).alias("__which"), F.xxhash64("__term").alias("h"))
     known = lex.select("h", F.lit(True).alias("__in"))
     known = F.broadcast(known) if lex.count() <= limit else known
-    own = F.col("__at") == 0
-    found = flat.join(known, "h", "left").filter(own | F.col("__in"))
-    once = lambda c: F.first(F.when(own, F.col(c)), ignorenulls=True)
-    grouped = found.groupBy(*key).agg(*[once(c).alias(c) for c in carry], *[once(f"__h{i}").alias(f"__h{i}") for i in range(len(texts))], *[F.collect_list(F.when(~own & (F.col("__which") == i), F.col("h"))).alias(f"__f{i}") for i in range(len(texts))])
-    ordered = grouped.select(*key, *carry, *[f"__h{i}" for i in range(len(texts))], *[F.sort_array(f"__f{i}").alias(f"__f{i}") for i in range(len(texts))])
-    return ordered.select(*key, *carry, *[_components(F.col(f"__f{i}"), F.col(f"__h{i}")).alias(f"fp{i}") for i in range(len(texts))])
+    found = flat.join(known, "h", "left").filter((F.col("__which") < 0) | F.col("__in"))
+    grouped = found.groupBy(*key).agg(F.first("__own", ignorenulls=True).alias("__own"), *[F.collect_list(F.when(F.col("__which") == i, F.col("h"))).alias(f"__f{i}") for i in each])
+    ordered = grouped.select(*key, "__own.*", *[F.sort_array(f"__f{i}").alias(f"__f{i}") for i in each])
+    hashed = _components(ordered, [f"__f{i}" for i in each], [f"__h{i}" for i in each], [f"fp{i}" for i in each])
+    return hashed.select(*key, *carry, *[F.when(~F.col(f"__n{i}"), F.col(f"fp{i}")).alias(f"fp{i}") for i in each])
 
 
-def _run_of(docs: DataFrame, id_col: str) -> Column:
-    """The run that an id belongs to: runs follow the order of ids and hold about RUN documents each. Null: run -1.
+def in_runs(rows: DataFrame, id_col: str, tie_col: str, run: int) -> DataFrame:
+    """rows with run (long) and ghost (boolean): runs of about `run` neighbours by descending id, each with its successor as a ghost.
 
-    Each of SEGMENTS segments between quantiles of the ids is split into runs of equal width.
+    The ids are cut at quantiles, and each part again at its own, so runs are of like size however the ids cluster; rows
+    of one id share a run. Every cut is the greatest id of its run, so the row that follows a run's last is known without
+    looking: it is also sent there, as a ghost (rows of the same id with it). The greatest id of all follows the least.
+    Rows without an id come last, in the order of tie_col (long), spread by it.
     """
-    ids = docs.select(F.col(id_col).cast("long").alias("i"))
-    marks = [k / SEGMENTS for k in range(1, SEGMENTS)]
-    n, lo, hi, cuts = ids.agg(F.count("i"), F.min("i"), F.max("i"), F.percentile_approx("i", marks, 10_000)).first()
-    if not n:
-        return F.lit(-1).cast("long")
-    edges, run = [lo, *sorted({c for c in cuts if lo < c <= hi}), hi + 1], max(RUN, -(-n // MOST_RUNS))
-    per_segment = max(1, -(-n // ((len(edges) - 1) * run)))
-    i, placed = F.col(id_col).cast("long"), F.lit(-1).cast("long")
-    for k in range(len(edges) - 1):  # the last segment that begins at or below the id
-        width = max(1, -(-(edges[k + 1] - edges[k]) // per_segment))
-        placed = F.when(i >= edges[k], F.lit(k * (per_segment + 1)) + F.floor((i - edges[k]) / width)).otherwise(placed)
-    return F.coalesce(placed.cast("long"), F.lit(-1).cast("long"))
+    least = rows.agg(F.min(F.col(id_col).cast("double"))).first()[0] or 0.0
+    spread = F.shiftrightunsigned(tie_col, 12).cast("double") / float(1 << 52)
+    # unsigned order of tie_col: negative ones behind
+    q = F.coalesce(F.col(id_col).cast("double"), F.lit(least) - F.lit(max(1.0, abs(least))) * (1 + spread))
+    rows = rows.withColumn("__q", q)
+    n = rows.count()
+    parts = max(1, min(MOST_PARTS, int((n / run) ** 0.5)))
+    within = max(1, min(MOST_PARTS, -(-n // (run * parts))))
+
+    def cuts(of: DataFrame, k: int) -> DataFrame:
+        inner = F.percentile_approx("__q", [j / k for j in range(1, k)], 100 * k) if k > 1 else F.array().cast("array<double>")
+        return of.agg(F.array_sort(F.array_distinct(F.concat(inner, F.array(F.max("__q"))))).alias("__cuts"))
+
+    below = lambda cuts_: F.size(F.filter(cuts_, lambda c: c < F.col("__q"))).cast("long")
+    edges = cuts(rows.groupBy(), parts).first()[0] if n else []
+    outer = F.array(*[F.lit(x) for x in edges]).cast("array<double>")
+    rows = rows.withColumn("__part", below(outer))
+    # one row for each part, at most MOST_PARTS
+    inner = cuts(rows.groupBy("__part"), within)
+    rows = rows.join(F.broadcast(inner), "__part").withColumn("__sub", below(F.col("__cuts")))
+    at = F.col("__part") * MOST_PARTS * 2 + F.col("__sub")
+    is_cut = F.get("__cuts", F.col("__sub")) == F.col("__q")
+    above = F.when(F.col("__sub") + 1 < F.size("__cuts"), at + 1).when(F.col("__part") + 1 < len(edges), (F.col("__part") + 1) * MOST_PARTS * 2).otherwise(0)
+    places = F.when(is_cut, F.array(F.struct(at.alias("run"), F.lit(False).alias("ghost")), F.struct(above.alias("run"), F.lit(True).alias("ghost")))).otherwise(F.array(F.struct(at.alias("run"), F.lit(False).alias("ghost"))))
+    return rows.withColumn("__place", F.explode(places)).select(*[c for c in rows.columns if not c.startswith("__")], "__place.run", "__place.ghost")
 
 
 def next_edit(text: Column, following: Column) -> Column:
@@ -116,33 +138,22 @@ def next_edit(text: Column, following: Column) -> Column:
 def compare_with_edits(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMONEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The next document is that of the next smaller id (rows of one id follow by a hash of their texts; null ids come
-    last); after the last row comes the first. Null texts are empty. Texts travel once, to runs of neighbouring ids;
-    only the last row of each run is joined to the first of the next run.
+    The next document is that of the next smaller id (rows of one id follow by a hash of their texts, unsigned; null ids come
+    last); after the last row comes the first. Null texts are empty. An empty table gives no rows. Ids are integers. Texts
+    travel once, to runs of neighbouring ids.
     """
     lex = lexicon(docs, rarest, commonest, text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), _run_of(docs, id_col).alias("run"))
-    in_run = W.partitionBy("run").orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
-    lined = rows.select("run", "doc_id", "text", F.lead("text").over(in_run).alias("following"), F.row_number().over(in_run).alias("place"))
-
-    def with_edit(df: DataFrame) -> DataFrame:
-        edited = next_edit(F.col("text"), F.col("following"))
-        return df.withColumn("edited", edited).withColumn("n_chars", F.char_length("text").cast("long")).withColumn("edited_sha256", F.sha2("edited", 256))
-
-    within = with_edit(lined.withColumn("following_known", F.col("following").isNotNull()).withColumn("following", F.coalesce("following", F.lit(""))))
-    main = fingerprints(within, ["run", "place"], ["text", "edited"], lex, ["doc_id", "n_chars", "edited_sha256", "following_known"])
-    main = main.withColumn("next_fp", F.lead("fp0").over(W.partitionBy("run").orderBy("place"))).filter("following_known")
-
-    # the ends of runs: at most MOST_RUNS rows
-    runs = rows.select("run").distinct()
-    by_run = W.orderBy(F.col("run").desc())
-    after = runs.select("run", F.coalesce(F.lead("run").over(by_run), F.first("run").over(by_run)).alias("after"))
-    lasts = lined.filter("following IS NULL").drop("following").join(F.broadcast(after), "run")
-    heads = lined.filter("place = 1").select(F.col("run").alias("after"), F.col("text").alias("following"))
-    ends = with_edit(lasts.join(heads, "after"))
-    ends = fingerprints(ends, ["run", "place"], ["text", "edited", "following"], lex, ["doc_id", "n_chars", "edited_sha256"]).withColumnRenamed("fp2", "next_fp")
-
-    columns = ["doc_id", "n_chars", "edited_sha256", "fp0", "fp1", "next_fp"]
-    return main.select(*columns).union(ends.select(*columns)).select(
-        "doc_id", "n_chars", "edited_sha256", as_text(F.col("fp0")).alias("fingerprint"), as_text(F.col("fp1")).alias("edited_fingerprint"), likeness(F.col("fp0"), F.col("fp1")).alias("near_edited"), likeness(F.col("fp0"), F.col("next_fp")).alias("near_next"),
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    lined = in_runs(rows, "doc_id", "tie", RUN)
+    # ~id and the flipped sign put greater ids and unsigned order first
+    order = ["ghost", F.col("doc_id").isNull(), F.bitwise_not("doc_id"), F.col("tie").bitwiseXOR(F.lit(-(1 << 63)))]
+    in_run = W.partitionBy("run").orderBy(*order)
+    lined = lined.select("run", "ghost", "doc_id", "text", F.lead("text").over(in_run).alias("following"), F.row_number().over(in_run).alias("place"))
+    edited = lined.withColumn("edited", F.when(~F.col("ghost"), next_edit(F.col("text"), F.col("following"))))
+    edited = edited.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("edited_sha256", F.sha2("edited", 256))
+    found = fingerprints(edited, ["run", "place"], ["text", "edited"], lex, ["doc_id", "n_chars", "edited_sha256", "ghost"])
+    found = found.withColumn("next_fp", F.lead("fp0").over(W.partitionBy("run").orderBy("place"))).filter(~F.col("ghost"))
+    return found.select(
+        F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id"), "n_chars", "edited_sha256", as_text(F.col("fp0")).alias("fingerprint"), as_text(F.col("fp1")).alias("edited_fingerprint"),
+        likeness(F.col("fp0"), F.col("fp1")).alias("near_edited"), likeness(F.col("fp0"), F.col("next_fp")).alias("near_next"),
     )

@@ -11,13 +11,15 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 from uuid import uuid4
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import shared_dir, workers_find_us
-from .token_ids import encoder
+from .token_ids import encoder, slices
 
 #: A leaf is (domain, language, source).
 LEVELS = ("domain", "lang", "source")
@@ -92,30 +94,38 @@ def with_tokens(docs: DataFrame, tokenizer: str, kind: str = "byte", name: str =
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
-        ids = encoder(tokenizer, kind).count
-        return pd.Series([ids(t or "") + 1 for t in texts], dtype="int64")
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
+        counts = encoder(tokenizer, kind).counts
+        return pd.Series(np.concatenate([np.empty(0, np.int64), *[counts(x.column(0)) + 1 for x in slices(batch, 0)]]))
 
     folder = f"{shared_dir(spark).rstrip('/')}/tokens-{uuid4().hex}"
     docs.withColumn(name, count(F.col("text").cast("string"))).write.parquet(folder)
     return spark.read.parquet(folder)
 
 
+#: Columns that a mixture adds.
+ADDED = ("__domain", "__epoch", "__tokens", "__budget")
+
+
 def mix(docs: DataFrame, domain: Column, weights: Mapping[tuple[str, ...], float], total: int | None = None, share: float | None = None, max_epochs: int = 4, seed: int = 17, tokens: Column | None = None, run: int = 2048) -> DataFrame:
     """docs' rows that the mixture takes, once for each epoch, with __domain, __epoch (from 0), __tokens, __budget.
 
-    tokens: each row's number of tokens; token_count's estimate where none is given.
-    The budget is total tokens, or share of all tokens in docs. Null languages and sources are leaves called ''.
+    tokens: each row's number of tokens; token_count's estimate where none is given. Null ones count as 0.
+    The budget is total tokens, or share of all tokens in docs. Null domains, languages and sources are leaves called ''.
+    More than MAX_LEAVES leaves are an error: their supplies and budgets pass through the driver.
     A leaf with budget b and n tokens gives b // n whole epochs, and of the next the documents, in the order of a hash
-    of (seed, id, content), whose running total of tokens stays within the rest. Repeated rows are rows of their own
-    and stand together in that order. All columns stay. Running totals come from sums over runs of about `run`
-    documents by hash, so that only the run in which a leaf's prefix ends is ordered row by row.
+    of (seed, epoch, id, content), whose running total of tokens stays within the rest. Repeated rows are rows of their own
+    and stand together in that order. All columns stay, but for those called as the added ones; an empty table gives no
+    rows. Running totals come from sums over runs of about `run` documents by hash, so that only the run in which a leaf's
+    prefix ends is ordered row by row.
     """
-    names = docs.columns
+    spark = docs.sparkSession
     leaf = ["__domain", "__lang", "__source"]
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+    name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    count = F.coalesce(tokens if tokens is not None else token_count(F.col("text")), F.lit(0)).cast("long")
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), domain.alias("__domain"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("__lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__source"),
-        (tokens if tokens is not None else token_count(F.col("text"))).alias("__tokens"), order.alias("__u"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED]).alias("__row"), name(domain).alias("__domain"), name(F.col("lang")).alias("__lang"), name(F.col("source")).alias("__source"),
+        count.alias("__tokens"), F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__content"),
     )
     leaves = rows.groupBy(*leaf).agg(F.sum("__tokens").alias("t"), F.count("*").alias("n")).limit(MAX_LEAVES + 1).collect()
     if len(leaves) > MAX_LEAVES:
@@ -124,19 +134,22 @@ def mix(docs: DataFrame, domain: Column, weights: Mapping[tuple[str, ...], float
     budget = total if total is not None else int((share if share is not None else 1.0) * sum(have.values()))
     plan = allocate({p: t * max_epochs for p, t in have.items()}, weights, budget)
     bits = min(20, max(0, (max([r["n"] for r in leaves], default=1) // run).bit_length()))
-    rows = rows.withColumn("__run", F.shiftrightunsigned("__u", 64 - bits).cast("long") if bits else F.lit(0).cast("long"))
 
-    spark = docs.sparkSession
-    # at most MAX_LEAVES rows
-    wanted = F.broadcast(spark.createDataFrame([(*p, plan[p], plan[p] // have[p], plan[p] % have[p]) for p in have], "__domain string, __lang string, __source string, __budget long, __whole long, __rest long").hint("broadcast"))
-    sums = rows.groupBy(*leaf, "__run").agg(F.sum("__tokens").alias("__t"))
-    running = sums.withColumn("__upto", F.sum("__t").over(W.partitionBy(*leaf).orderBy("__run"))).join(wanted, leaf)
+    # at most MAX_LEAVES rows; a leaf without tokens gives each document once
+    shares = [(*p, plan[p], *(divmod(plan[p], have[p]) if have[p] else (0, 0))) for p in have]
+    wanted = F.broadcast(spark.createDataFrame(shares, "__domain string, __lang string, __source string, __budget long, __whole long, __rest long"))
+    # the epoch that is taken in part has an order of its own
+    order = F.xxhash64(F.lit(seed), "__whole", "__id", "__content")
+    rows = rows.join(wanted, leaf).withColumn("__u", order).drop("__id", "__content")
+    rows = rows.withColumn("__run", F.shiftrightunsigned("__u", 64 - bits).cast("long") if bits else F.lit(0).cast("long"))
+    sums = rows.groupBy(*leaf, "__run").agg(F.sum("__tokens").alias("__t"), F.first("__rest").alias("__rest"))
+    running = sums.withColumn("__upto", F.sum("__t").over(W.partitionBy(*leaf).orderBy("__run")))
     # the run in which the prefix ends: the first whose running total exceeds the rest
     ends = running.filter("__upto > __rest").groupBy(*leaf).agg(F.min(F.struct(F.col("__run").alias("r"), (F.col("__upto") - F.col("__t")).alias("before"))).alias("e"))
-    marked = rows.join(wanted, leaf).join(F.broadcast(ends.select(*leaf, F.col("e.r").alias("__end"), F.col("e.before").alias("__before"))), leaf, "left")
+    marked = rows.join(F.broadcast(ends.select(*leaf, F.col("e.r").alias("__end"), F.col("e.before").alias("__before"))), leaf, "left")
     cells = F.when(F.col("__end").isNull() | (F.col("__run") < F.col("__end")), F.col("__whole") + 1).otherwise(F.col("__whole"))
     sure = marked.withColumn("__epoch", F.explode(F.when(cells > 0, F.sequence(F.lit(0).cast("long"), cells - 1)).otherwise(F.array().cast("array<bigint>"))))
     last = marked.filter("__run = __end").withColumn("__sum", F.sum("__tokens").over(W.partitionBy(*leaf).orderBy("__u", F.to_json("__row")).rowsBetween(W.unboundedPreceding, 0)))
     last = last.filter("__before + __sum <= __rest").withColumn("__epoch", F.col("__whole"))
-    out = ["__row.*", "__domain", "__epoch", "__tokens", "__budget"]
+    out = ["__row.*", *ADDED]
     return sure.select(*out).union(last.select(*out))

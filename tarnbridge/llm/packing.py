@@ -8,7 +8,9 @@ lowest set bit at or above the piece's length. Where a new bin is needed and all
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -16,9 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import workers_find_us
-from .token_ids import encoder
+from .token_ids import encoder, slices
 
-SLICE = 128
+#: Pieces in one batch that leaves a task, so that its ids stay below 2 GB; documents that one task packs at least.
+MOST_PIECES, DOCS_PER_TASK = 65_536, 50_000
 
 
 class BestFit:
@@ -58,41 +61,57 @@ class BestFit:
         return number, self.capacity - free
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, kind: str = "byte", capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_into_pieces(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document's place, piece, start, length) of the pieces of documents of these sizes: only the first piece may be short."""
+    pieces = -(-sizes // capacity)
+    row = np.repeat(np.arange(len(sizes)), pieces)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    first = (sizes - (pieces - 1) * capacity)[row]
+    return row, piece, np.where(piece == 0, 0, first + (piece - 1) * capacity), np.where(piece == 0, first, capacity)
+
+
+def token_pieces(docs: DataFrame, tokenizer: str, kind: str = "byte", capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", as_crc: bool = False) -> DataFrame:
     """One row for each piece of each document: (id, piece, start, length, ids as little-endian unsigned 32-bit).
 
+    With as_crc the ids' CRC-32 comes in place of the ids, so that these need not move: ids_crc32 (long).
     A null text is empty: its only id is end_id. Only a document of more than capacity ids is cut; then all pieces but
     the first are full. Repeated rows and null ids are documents of their own; other columns are left out.
     """
     workers_find_us(docs.sparkSession)
-    id_field = docs.schema[id_col]
-    schema = T.StructType([T.StructField("doc_id", id_field.dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
+    last = T.StructField("ids_crc32", T.LongType()) if as_crc else T.StructField("ids", T.BinaryType())
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), last])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer, kind).encode, end_id.to_bytes(4, "little")
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                out: list[list] = [[], [], [], [], []]
-                for row, text in enumerate(part.column(1).to_pylist()):
-                    ids = encode(text or "") + end
-                    n, start, piece = len(ids) // 4, 0, 0
-                    while start < n:
-                        length = n % capacity or capacity if not start else capacity
-                        for column, value in zip(out, (row, piece, start, length, ids[4 * start : 4 * (start + length)]), strict=True):
-                            column.append(value)
-                        start, piece = start + length, piece + 1
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
+        ended = encoder(tokenizer, kind).ended
+        for part in (part for batch in batches for part in slices(batch, 1)):
+            ids, sizes = ended(part.column(1), end_id)
+            all_pieces = cut_into_pieces(sizes, capacity)
+            data, all_ends = memoryview(ids).cast("B"), 4 * np.cumsum(all_pieces[3])
+            for at in range(0, len(all_ends), MOST_PIECES):
+                row, piece, start, length = (x[at : at + MOST_PIECES] for x in all_pieces)
+                ends = all_ends[at : at + MOST_PIECES]
+                begins = ends - 4 * length
+                if as_crc:
+                    values = pa.array([crc32(data[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], pa.int64())
+                else:
+                    offsets = np.append(begins, ends[-1]) - begins[0]
+                    values = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[begins[0] : ends[-1]])])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), values], names=schema.names)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, open_bins: int = 2048, length_col: str = "length", key_cols: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+def tasks_for(docs: DataFrame) -> int:
+    """In how many tasks to pack the pieces of docs. Each task leaves some bins half full, so few documents need few tasks."""
+    return max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // DOCS_PER_TASK)))
+
+
+def pack(pieces: DataFrame, capacity: int = 1024, open_bins: int = 2048, length_col: str = "length", key_cols: tuple[str, ...] = ("doc_id", "piece"), tasks: int | None = None) -> DataFrame:
     """pieces with sequence_id (long) and offset (long); all other columns go along, old ones of these two names do not.
 
     Pieces are dealt out and ordered by a hash of key_cols, so each task sees lengths in random order, which bounded
     best-fit packs well, and sees the same pieces in the same order if it runs again. A task holds open_bins bins and
-    one batch. Sequence ids are unique across tasks. A null length counts as 0; one over capacity is an error.
+    one batch; tasks says how many there are (None: as Spark sets it). Sequence ids are unique across tasks. A null length counts as 0; one over capacity is an error.
     """
     workers_find_us(pieces.sparkSession)
     kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
@@ -106,9 +125,5 @@ def pack(pieces: DataFrame, capacity: int = 1024, open_bins: int = 2048, length_
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([first + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], names=[*kept, "sequence_id", "offset"])
 
     order = F.xxhash64(*key_cols)
-    return pieces.select(*kept).repartition(order).sortWithinPartitions(order, *key_cols, length_col).mapInArrow(run, schema)
-
-
-def digests(pieces: DataFrame) -> DataFrame:
-    """Each piece's ids as their CRC-32, so that the ids themselves need not move."""
-    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    dealt = pieces.select(*[F.col(f"`{c}`") for c in kept]).repartition(*([tasks] if tasks else []), order)
+    return dealt.sortWithinPartitions(order, *key_cols, length_col).mapInArrow(run, schema)

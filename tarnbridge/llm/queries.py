@@ -29,8 +29,9 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.token_pieces(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return packing.pack(packing.digests(pieces))
+    docs = read(spark, sf_dir, "documents")
+    pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), as_crc=True)
+    return packing.pack(pieces, tasks=packing.tasks_for(docs))
 
 
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,18 @@
 """Each opN query against a brute-force version, on rows with nulls, empty, odd and repeated texts and clashing columns."""
 
 import hashlib
+import random
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from xxhash import xxh64_intdigest
 
@@ -145,6 +150,58 @@ def test_edits_across_runs(spark, monkeypatch):
         assert got[doc_id]["edited_sha256"] == hashlib.sha256((text[: len(text) - n] + following[:n]).encode()).hexdigest()
 
 
+def _brute_fingerprint(text, band):
+    """As Spark hashes: XXH64 of UTF-8, of 8 bytes a long, of 4 bytes an int, each with the hash before as seed."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    n = 1 + imatch.LEVELS * imatch.REPLICAS
+    hashes = sorted(signed(h) for h in {xxhash.xxh64_intdigest(t.encode(), 42) for t in re.split("[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+", text.lower()) if t in band})
+    if not hashes:
+        return [xxhash.xxh64_intdigest(text.lower().encode(), 42)] * n
+
+    def digest(some, replica):
+        seed = 42
+        for h in some:
+            seed = xxhash.xxh64_intdigest(struct.pack("<q", h), seed)
+        return xxhash.xxh64_intdigest(struct.pack("<i", replica), seed) if some else None
+
+    out = [digest(hashes, 0)]
+    for level in range(1, imatch.LEVELS + 1):
+        out += [digest([h for h in hashes if not (h >> (imatch.LEVELS * r)) & ((1 << level) - 1)], r) for r in range(imatch.REPLICAS)]
+    return out
+
+
+def test_fingerprints_by_brute_force(spark):
+    rng = random.Random(5)
+    data = [(i, " ".join(f"W{rng.randrange(40) ** 2}x" for _ in range(rng.randrange(60)))) for i in range(60)] + [(99, None), (100, "only here"), (None, "w1x W4X none")]
+    texts = [t or "" for _, t in data]
+    df = Counter(t for x in texts for t in set(re.findall("[a-z0-9]+", x.lower())))
+    band = {t for t, k in df.items() if max(2, round(0.05 * len(texts))) <= k <= max(2, 0.4 * len(texts))}
+    got = {r["doc_id"]: r for r in imatch.compare_with_edits(spark.createDataFrame(data, "doc_id int, text string"), 0.05, 0.4).collect()}
+    order = sorted(data[:-1], key=lambda r: -r[0]) + data[-1:]
+    shown = lambda fp: ".".join("-" if h is None else f"{h:016x}" for h in fp)
+
+    def likeness(a, b):
+        either = [(x, y) for x, y in zip(a, b, strict=True) if x is not None or y is not None]
+        return sum(x == y for x, y in either) / len(either)
+
+    assert len(got) == len(data) and len(band) > 10
+    for k, (doc_id, text) in enumerate(order):
+        text, following = text or "", order[(k + 1) % len(order)][1] or ""
+        n = len(text) // 3
+        a, b, c = (_brute_fingerprint(x, band) for x in (text, text[: len(text) - n] + following[:n], following))
+        r = got[doc_id]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (shown(a), shown(b))
+        assert (r["near_edited"], r["near_next"]) == (likeness(a, b), likeness(a, c))
+
+
+def test_runs_are_of_like_size_however_ids_cluster(spark):
+    ids = [*range(3000), *(10**12 + 7 * i for i in range(3000)), *(-(2**60) + i for i in range(50)), *[None] * 500]
+    rows = spark.createDataFrame([(i, k * 2654435761 % 2**63 * (-1) ** k) for k, i in enumerate(ids)], "i long, t long")
+    runs = imatch.in_runs(rows, "i", "t", 50).collect()
+    sizes = Counter(r["run"] for r in runs if not r["ghost"])
+    assert sum(sizes.values()) == len(ids) and max(sizes.values()) <= 200 and sum(r["ghost"] for r in runs) <= 2 * len(sizes) + 60
+
+
 def test_html_extraction(spark, sf):
     got = {r["page_id"]: r for r in rows(spark, sf, "op4_html_extraction")}
     assert got[0]["text"] == got[1]["text"] == got[2]["text"] == ""
@@ -190,11 +247,50 @@ def test_sequence_files_give_random_access(tmp_path):
     assert f.ids(5, 9_000).tolist() == ids[5:9005].tolist()
 
 
+ODD_TEXTS = ["a\x85b", "x  y", " lead", "don't can't I'LL", "Ünd...ÉTÉ, ok?!", "\x1c a", "İstanbul Σας", "\x01 \x02", "a \n\n b\n", "<|endoftext|> x", "e\u0301.", "it's.'s, | a|b", "trail ", "\t", "ß, Ä!", "9a. a9, x_y;"]
+
+
 def test_units_equal_the_library_whole():
+    rng = random.Random(3)
+    bits = [*"aZé ß.,'|#\n\t\u00a0\u0301\x01", "  ", "the", " The", "ing ", "<|", "123", "don't", "日本", "\r\n"]
+    texts = [t or "" for t in TEXTS] + ODD_TEXTS + ["".join(rng.choices(bits, k=rng.randrange(30))) for _ in range(2000)]
     for path, kind in (("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")):
         e = token_ids.UnitEncoder(public_tokenizers.path(path), kind)
-        texts = [t or "" for t in TEXTS] + ["a\x85b", "x  y", " lead", "don't can't I'LL", "Ünd...ÉTÉ, ok?!", "\x1c a", "İstanbul Σας"]
-        assert [e.encode(t) for t in texts] == e.whole(texts) == [e.encode(t) for t in texts]
+        want = e.whole(texts)
+        for most in (200, 10**6):  # anew in small parts, then all known
+            batch = pa.record_batch([pa.array([*texts, None])], names=["t"])
+            parts = [e.encode(p.column(0)) for p in token_ids.slices(batch, 0, most)]
+            ids, sizes = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [*want, []]
+            assert e.counts(pa.array(texts)).tolist() == [len(x) for x in want]
+
+
+def test_encoder_refuses_another_kind():
+    for path, kind in (("byte_bpe_50k.json", "word"), ("byte_bpe_50k.json", "piece")):
+        with pytest.raises(ValueError, match="kind"):
+            token_ids.UnitEncoder(public_tokenizers.path(path), kind)
+
+
+def test_encoder_forgets(monkeypatch):
+    monkeypatch.setattr(token_ids, "MOST_UNITS", 50)
+    e = token_ids.UnitEncoder(public_tokenizers.path("byte_bpe_50k.json"), "byte")
+    for i in range(20):
+        texts = [f"word{i} and other{j}, here" for j in range(30)]
+        assert [x.tolist() for x in np.split(*[f(x) for f, x in zip((lambda a: a, lambda n: np.cumsum(n)[:-1]), e.encode(pa.array(texts)), strict=True)])] == e.whole(texts)
+        assert len(e.known) < 200
+
+
+def test_pieces_are_cut_as_said():
+    for n in (1, 7, 8, 9, 16, 17):
+        row, piece, start, length = (x.tolist() for x in packing.cut_into_pieces(np.array([n]), 8))
+        assert sum(length) == n and piece == list(range(len(row))) and start == [sum(length[:i]) for i in range(len(row))] and all(x == 8 for x in length[1:])
+
+
+def test_ids_too_large_for_the_file(tmp_path):
+    fs, _ = arrow_files._open(f"file://{tmp_path}")
+    w = arrow_files.SequenceWriter(fs, f"{tmp_path}/a.arrow", 16, "uint16")
+    with pytest.raises(ValueError, match="70000"):
+        w.append(np.array([1, 70_000], np.uint32))
 
 
 def test_mixing_budgets():
@@ -232,6 +328,47 @@ def test_mixing(spark, sf):
             assert taken[k] <= b and b - taken[k] <= max(size[d] for d, t, la, s, *_ in ROWS if ("web", la or "", s) == k)
 
 
+def _spark_hash(*values):
+    """xxhash64(...) of longs, ('int', n) and strings; nulls are passed over."""
+    seed = 42
+    for v in values:
+        if v is not None:
+            data = v.encode() if isinstance(v, str) else struct.pack("<i", v[1]) if isinstance(v, tuple) else struct.pack("<q", v)
+            seed = xxhash.xxh64_intdigest(data, seed)
+    return seed
+
+
+def test_mixing_takes_the_prefix_of_each_epochs_own_order(spark):
+    rng = random.Random(11)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    data = [(i, f"text {i % 70}", rng.choice("ab"), rng.choice("xy"), rng.randrange(1, 9)) for i in range(400)] + [(None, None, "a", "x", 5), (7, "twice", "a", "x", 2), (7, "twice", "a", "x", 2)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n long")
+    for share in (0.3, 1.7):
+        got = mixing.mix(docs, F.lit("d"), {("d", "a"): 3.0}, share=share, max_epochs=3, tokens=F.col("n"), run=8).collect()
+        supply = Counter()
+        for _, _, la, so, n in data:
+            supply["d", la, so] += n
+        want = Counter()
+        for (dom, la, so), b in mixing.allocate({k: 3 * v for k, v in supply.items()}, {("d", "a"): 3.0}, int(share * sum(supply.values()))).items():
+            mine = [d for d in data if d[2:4] == (la, so)]
+            whole, rest = divmod(b, supply[dom, la, so])
+            want.update((d[0], d[1], e) for d in mine for e in range(whole))
+            for d in sorted(mine, key=lambda d: _spark_hash(("int", 17), whole, d[0], signed(_spark_hash(d[1])))):
+                rest -= d[4]
+                if rest < 0:
+                    break
+                want[d[0], d[1], whole] += 1
+        assert Counter((r["doc_id"], r["text"], r["__epoch"]) for r in got) == want
+
+
+def test_mixing_with_clashing_names_and_no_rows(spark):
+    docs = spark.createDataFrame([(1, "a b", None, None, "old", {"k": 1}, 3.5), (2, None, "en", "s", "old", {"k": 2}, 4.5)], "doc_id long, text string, lang string, source string, __domain string, m map<string,int>, `a.b` double")
+    got = mixing.mix(docs, F.lit(None).cast("string"), {}, share=1.0)
+    assert got.columns == ["doc_id", "text", "lang", "source", "m", "a.b", "__domain", "__epoch", "__tokens", "__budget"]
+    assert sorted((r["doc_id"], r["a.b"], r["__domain"], r["m"]["k"]) for r in got.collect()) == [(1, 3.5, "", 1), (2, 4.5, "", 2)]
+    assert mixing.mix(docs.limit(0), F.lit("d"), {}, share=1.0).count() == 0
+
+
 def test_mixing_counts_real_tokens(spark, sf):
     """op6's n_tokens and the pipeline's budgets are ids of the packing stage's tokenizer, not bytes over 4."""
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
