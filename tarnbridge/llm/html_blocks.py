@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import workers_find_us
+from .common import freed, workers_find_us
 
 WEIGHTS = Path(__file__).with_name("block_labeller.npz")
 PATH_DIM, WORD_DIM, EXTRA = 160, 24, 6
@@ -30,17 +31,21 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that begin and end a block.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 #: Elements whose content is not text of the page.
-SILENT = "iframe|noframes|noscript|object|script|style|svg|template|textarea|title|math|canvas|audio|video"
+SILENT = frozenset("iframe noframes noscript object script style svg template textarea title canvas audio video".split())
 #: Those of raw text: without an end tag they reach to the end of the page. The others then are as any other element.
-RAW = "iframe|noframes|script|style|textarea|title"
+RAW = frozenset("iframe noframes script style textarea title".split())
+#: Elements that may be open at a time; deeper ones have no structure of their own. Innermost ones that describe a block.
+DEEPEST, PATH = 512, 64
 #: A start tag closes these open elements, up to the nearest of the second.
 CLOSES = {
     **{t: ({"p"}, {"td", "th", "li", "dd", "button", "object"}) for t in BLOCK - {"option", "label", "button"}},
     "li": ({"li", "p"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}), "tr": ({"tr", "td", "th", "p"}, {"table"}),
     "td": ({"td", "th", "p"}, {"table", "tr"}), "th": ({"td", "th", "p"}, {"table", "tr"}), "option": ({"option"}, {"select"}), "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"}),
 }
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(" + SILENT + r")\b[^>]*?(?:/>|>.*?</\1\s*>)|<(?:" + RAW + r")\b[^>]*>.*\Z|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-HEAD = re.compile(r"<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b))", re.S | re.I)
+#: The common tags, whose quotes hold no angle brackets. It never looks behind the next angle bracket.
+TAG = re.compile(r"<(/?[a-zA-Z][a-zA-Z0-9:-]*)([^<>\"']*(?:\"[^\"<>]*\"[^<>\"']*)*)>")
+TAG_NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
+HEAD = re.compile(r"<head\b[^>]*>", re.I)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 HIDES = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none", re.I)
 PIECES = re.compile(r"[A-Za-z]+")
@@ -53,18 +58,116 @@ class Block:
     linked: int  # characters inside links
 
 
+def parts(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, text): 'text', 'start' with the attributes, and 'end'. Comments and what SILENT elements hold are left out.
+
+    Each character is looked at a bounded number of times: what is searched for and not there is not searched for again.
+    """
+    low = page.lower() if page.isascii() else "".join(c.lower() if c.isascii() else c for c in page)
+    none_behind: dict[str, int] = {}
+
+    def find(what: str, at: int) -> int:
+        """Like low.find, but remembers from where on there is none."""
+        if what in none_behind and at >= none_behind[what]:
+            return -1
+        to = low.find(what, at)
+        if to < 0:
+            none_behind[what] = at
+        return to
+
+    def ended(name: str, at: int) -> tuple[int, int]:
+        """Where the end tag of a silent element begins and ends; -1: there is none."""
+        while (to := find("</" + name, at)) >= 0:
+            behind = low[to + 2 + len(name) : to + 3 + len(name)]
+            if behind in ("", ">", "/") or behind.isspace():
+                close = find(">", to)
+                return to, len(page) if close < 0 else close + 1
+            at = to + 2
+        return -1, -1
+
+    def tag_end(at: int) -> int:
+        """The place of the > that ends a tag; those in quotes do not. -1: there is none."""
+        while True:
+            to = find(">", at)
+            if to < 0:
+                return -1
+            quotes = [(q, k) for k in "\"'" if 0 <= (q := low.find(k, at, to))]
+            if not quotes:
+                return to
+            q, k = min(quotes)
+            behind = find(k, q + 1)
+            if behind < 0:
+                return to
+            at = behind + 1
+
+    at = 0
+    while at < len(page):
+        to = page.find("<", at)
+        if to < 0:
+            yield "text", "", page[at:]
+            return
+        if to > at:
+            yield "text", "", page[at:to]
+        if m := TAG.match(page, to):
+            name, rest, at = m[1].lower(), m[2], m.end()
+        elif page.startswith("<!--", to):
+            end = find("-->", to + 4)
+            at = len(page) if end < 0 else end + 3
+            continue
+        elif low.startswith("<![cdata[", to):
+            end = find("]]>", to + 9)
+            yield "text", "", page[to + 9 : len(page) if end < 0 else end]
+            at = len(page) if end < 0 else end + 3
+            continue
+        elif page.startswith(("<!", "<?"), to):
+            end = find(">", to)
+            at = len(page) if end < 0 else end + 1
+            continue
+        elif (m := TAG_NAME.match(page, to + 1)) and (end := tag_end(m.end())) >= 0:
+            name, rest, at = low[to + 1 : m.end()], page[m.end() : end], end + 1
+        else:
+            yield "text", "", "<"
+            at = to + 1
+            continue
+        if name[0] == "/":
+            yield "end", name[1:], ""
+        elif name not in SILENT:
+            yield "start", name, rest
+        elif not rest.endswith("/"):
+            begins, ends = ended(name, at)
+            if begins >= 0:
+                at = ends
+            elif name in RAW:
+                return
+            else:
+                yield "start", name, rest
+
+
+def without_head(page: str) -> str:
+    """The page without its head, where that has an end tag or a body follows. Else the head is as any other element."""
+    if m := HEAD.search(page):
+        low = page[m.end() :].lower()
+        ends = [(low.find(x), len(x)) for x in ("</head", "<body")]
+        begun = [(k, x) for k, x in ends if k >= 0]
+        if begun:
+            k, _ = min(begun)
+            return page[: m.start()] + " " + page[m.end() + k :]
+    return page
+
+
 def blocks(page: str) -> list[Block]:
     """The page's leaf blocks with text, in page order: character references decoded, each run of white space one blank."""
-    page = HEAD.sub(" ", page, count=1)
+    page = without_head(page)
     out: list[Block] = []
     open_: list[tuple[str, str]] = []
     text: list[str] = []
     state = {"linked": 0, "a": 0}
+    counts: defaultdict[str, int] = defaultdict(int)
 
     def flush() -> None:
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            out.append(Block(tuple(x for _, x in open_), joined, state["linked"]))
+            out.append(Block(tuple(x for _, x in open_[-PATH:]), joined, state["linked"]))
         text.clear()
         state["linked"] = 0
 
@@ -79,27 +182,24 @@ def blocks(page: str) -> list[Block]:
             flush()
         for t, _ in open_[to:]:
             state["a"] -= t == "a"
+            counts[t] -= 1
         del open_[to:]
 
-    at = 0
-    for m in TAG.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        if m[0].startswith("<![CDATA["):
-            add(m[0][9:].removesuffix("]]>"))
-        if not m[3]:
+    for kind, tag, rest in parts(page):
+        if kind == "text":
+            add(rest)
             continue
-        tag = m[3].lower()
-        if m[2]:
+        if kind == "end":
+            if not counts[tag]:
+                if tag in BLOCK:
+                    flush()
+                continue
             for i in range(len(open_) - 1, -1, -1):
                 if open_[i][0] == tag:
                     close(i)
                     break
                 if open_[i][0] in ("article", "main", "body", "table") and tag not in BLOCK:
                     break
-            else:
-                if tag in BLOCK:
-                    flush()
             continue
         if tag in CLOSES:
             ends, stop = CLOSES[tag]
@@ -115,14 +215,14 @@ def blocks(page: str) -> list[Block]:
             flush()
         elif tag == "br":
             text.append(" ")
-        if tag in VOID or tag == "head" or m[4].endswith("/"):  # a head that is not ended holds silent and void elements only
+        if tag in VOID or tag == "head" or rest.endswith("/") or len(open_) == DEEPEST:  # a head that is not ended holds silent and void elements only
             continue
-        names = " ".join(x for t in NAMES.findall(m[4]) for x in t if x) if m[4] else ""
-        if m[4] and HIDES.search(m[4]):
+        names = " ".join(x for t in NAMES.findall(rest) for x in t if x) if rest else ""
+        if rest and HIDES.search(rest):
             names += " is-hidden"
         open_.append((tag, f"{tag} {names}".lower().strip()))
+        counts[tag] += 1
         state["a"] += tag == "a"
-    add(page[at:])
     flush()
     return out
 
@@ -168,8 +268,8 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def lstm(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, backward: bool) -> list[tuple]:
-    """States by step over (steps, pages, DIM). mask (steps, pages, 1) is 0 behind a page's end: states stay there."""
+def lstm(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, backward: bool, last: bool = False) -> list[tuple]:
+    """States by step over (steps, pages, DIM), with last only the step's output. mask (steps, pages, 1) is 0 behind a page's end: states stay there."""
     steps, n, _ = x.shape
     h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
     out: list[tuple] = [()] * steps
@@ -181,9 +281,9 @@ def lstm(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.nd
         c2 = f * c + i * g
         tc = np.tanh(c2)
         m = mask[t]
-        out[t] = (h, c, i, f, o, g, tc, m)
+        before = () if last else (h, c, i, f, o, g, tc, m)
         h, c = m * (o * tc) + (1 - m) * h, m * c2 + (1 - m) * c
-        out[t] = (*out[t], h)
+        out[t] = (*before, h)
     return out
 
 
@@ -204,7 +304,7 @@ def scores(pages: list[np.ndarray], weights: dict[str, np.ndarray], cells: int =
         some = order[-max(1, cells // longest) :]
         del order[-len(some) :]
         x, mask = padded([pages[k] for k in some])
-        both = [np.stack([s[-1] for s in lstm(x, mask, weights["w" + d], weights["u" + d], weights["b" + d], d == "b")]) for d in "fb"]
+        both = [np.stack([s[-1] for s in lstm(x, mask, weights["w" + d], weights["u" + d], weights["b" + d], d == "b", True)]) for d in "fb"]
         p = _sigmoid(np.concatenate(both, axis=2) @ weights["v"] + x @ weights["s"] + weights["c"])
         for j, k in enumerate(some):
             out[k] = p[: len(pages[k]), j]
@@ -235,7 +335,7 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("url",), id_col: str = "p
     schema = T.StructType([T.StructField("page_id", pages.schema[id_col].dataType), *(pages.schema[c] for c in keep), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in freed(batches):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = ["\n\n".join(x) for x in extract_many([p or "" for p in part.column(len(names)).to_pylist()], weights, threshold)]

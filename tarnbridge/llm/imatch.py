@@ -34,7 +34,7 @@ def lexicon(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMONES
     n = docs.count()
     least, most = max(2, round(rarest * n)), max(2, commonest * n)
     seen = docs.select(F.explode(terms(F.coalesce(F.col(text_col), F.lit("")))).alias("t")).filter("t <> ''").groupBy(F.xxhash64("t").alias("h")).agg(F.count("*").alias("df"))
-    return cut(seen.filter((F.col("df") >= least) & (F.col("df") <= most)).select("h"))
+    return cut(seen.filter((F.col("df") >= least) & (F.col("df") <= most)).select("h").repartition(8))
 
 
 def _components(rows: DataFrame, ordered: list[str], alone: list[str], out: list[str]) -> DataFrame:

@@ -3,8 +3,13 @@
 Every rolling word 2-gram of a document joins, by hash, the places where license templates have it. A hit at word p of
 the document and word t of the template votes for the diagonal p - t: the place where the template would begin.
 Votes are counted by document, template and diagonal. Short templates (phrases) count where a diagonal has all their
-2-grams. For long ones (passages), neighbouring diagonals, as a few words more or fewer make them, merge into one span,
-which counts if it has enough of the passage's different 2-grams. The words themselves are compared, not only hashes.
+2-grams. For long ones (passages) a diagonal merges with those up to SLACK behind it, as a few words more or fewer make
+them, into one span. A span is then verified: its hits are followed in the order of the document's words, and only
+2-grams that also rise in the template count. It stands if they make up enough of the passage, and if it has more of
+them than any other span that begins within SLACK. The words themselves are compared, not only hashes.
+
+The passages are characteristic sentences of well-known licenses, not whole texts. Their 2-grams of two common words do
+not vote and do not count towards a share.
 """
 
 from __future__ import annotations
@@ -68,10 +73,13 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, passag
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     split = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), words_of(text).alias("words"))
-    hashed = split.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), "words", F.transform("words", lambda w, i: F.xxhash64(w, F.get(F.col("words"), i + 1))).alias("hashes"))
+    n_words = F.size("words")
+    pairs = F.arrays_zip(F.col("words").alias("a"), F.slice("words", 2, F.greatest(n_words - 1, F.lit(0))).alias("b"))
     # place 0 stands for the document itself, so that one without hits keeps a row
-    rolled = hashed.select("doc_id", "text_hash", "n_words", "words", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), F.col("hashes"))).alias("at", "h"))
-    same = (F.get("words", F.col("at") - 1) == F.col("first")) & (F.get("words", F.col("at")) == F.col("second"))
+    own = F.array(F.struct(F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b")))
+    rolled = split.select("doc_id", "text_hash", n_words.cast("long").alias("n_words"), F.posexplode(F.concat(own, pairs)).alias("at", "pair"))
+    rolled = rolled.select("doc_id", "text_hash", "n_words", "at", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), F.xxhash64("pair.a", "pair.b").alias("h"))
+    same = (F.col("a") == F.col("first")) & (F.col("b") == F.col("second"))
     # the templates are the code's own, a few hundred rows
     joined = rolled.join(F.broadcast(grams), "h", "left").filter((F.col("at") == 0) | same)
     hits = joined.select("doc_id", "text_hash", "n_words", F.when(F.col("at") > 0, F.col("template")).alias("template"), "label", "phrase", "base", "n_grams", "t_pos", (F.col("at") - 1 - F.col("t_pos")).cast("long").alias("diagonal"))
@@ -82,19 +90,27 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, passag
     by_diagonal = hits.groupBy(*doc, "template", "diagonal").agg(
         F.max("n_words").alias("n_words"), F.count("*").alias("votes"), F.max("label").alias("label"), F.max("phrase").alias("phrase"), F.max("base").alias("base"), F.max("n_grams").alias("n_grams"), F.collect_set("t_pos").alias("places"),
     )
-    in_order = W.partitionBy(*doc, "template").orderBy("diagonal")
-    fresh = F.when(~F.col("phrase") & (F.col("diagonal") - F.lag("diagonal").over(in_order) <= SLACK), 0).otherwise(1)
-    spans = by_diagonal.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(in_order)).groupBy(*doc, "template", "span").agg(
-        F.max("n_words").alias("n_words"), F.max("votes").alias("rows"), F.max("label").alias("label"), F.max("phrase").alias("phrase"), F.max("base").alias("base"), F.max("n_grams").alias("n_grams"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min("diagonal").alias("start"),
-    )
-    share = F.size("places") / F.col("n_grams")
-    sound = F.when(F.col("phrase"), share == 1).otherwise(share >= ENOUGH)
+    near = lambda before, behind: W.partitionBy(*doc, "template").orderBy("diagonal").rangeBetween(-before, behind)
+    # (word of the document, place in the template) of all hits of a span; a phrase's keep to its diagonal
+    merged = F.flatten(F.collect_list(F.transform("places", lambda t: F.struct((F.col("diagonal") + t).alias("p"), t.cast("long").alias("t")))).over(near(0, SLACK)))
+    only = lambda h: F.col("phrase") & (h["p"] - h["t"] != F.col("diagonal"))
+    spans = by_diagonal.withColumn("hits", F.array_sort(F.filter(merged, lambda h: ~only(h))))
+    # hits that rise in document and template: how many, the last place in each
+    nothing = F.struct(F.lit(0).alias("n"), F.lit(-1).cast("long").alias("t"), F.lit(-1).cast("long").alias("p"))
+    step = lambda s, h: F.when((h["t"] > s["t"]) & (h["p"] > s["p"]), F.struct((s["n"] + 1).alias("n"), h["t"].alias("t"), h["p"].alias("p"))).otherwise(s)
+    spans = spans.withColumn("run", F.aggregate("hits", nothing, step)).withColumn("start", F.col("diagonal")).withColumnRenamed("votes", "rows")
+    share = F.col("run.n") / F.col("n_grams")
+    enough = F.when(F.col("phrase"), share == 1).otherwise(share >= ENOUGH)
+    # of spans that begin near each other the fullest, then the first
+    rank = F.struct(F.when(enough, F.col("run.n")).otherwise(0).alias("n"), (-F.col("diagonal")).alias("d"))
+    spans = spans.withColumn("rank", rank).withColumn("top", F.max("rank").over(near(SLACK, SLACK)))
+    sound = enough & (F.col("phrase") | (F.col("rank") == F.col("top")))
     # "cc by" at the start of "cc by nc" is no license of its own
     is_short = F.col("phrase") & ~F.col("base")
     spans = spans.withColumn("sound", sound).withColumn("longest", F.max(F.when(is_short & F.col("sound"), F.col("n_grams"))).over(W.partitionBy(*doc, "start")))
     sound = F.col("sound") & (~is_short | (F.col("n_grams") == F.col("longest")))
     base = sound & F.col("base")
-    span = F.struct("label", F.greatest("start", F.lit(0)).alias("start"), (F.col("start") + F.array_max("places") + GRAM - 1).alias("end"), F.round(share, 4).alias("share"))
+    span = F.struct("label", F.greatest("start", F.lit(0)).alias("start"), (F.col("run.p") + GRAM - 1).alias("end"), F.round(share, 4).alias("share"))
     listed = lambda labels: F.array_join(F.array_sort(labels), ",")
     found = spans.groupBy(*doc).agg(
         F.max("n_words").alias("n_words"),

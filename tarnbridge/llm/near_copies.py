@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, workers_find_us
+from .common import cut, first_of_each, freed, identified, workers_find_us
 
 SEED, BITS, BLOCKS, DENSE = 42, 64, 6, 48
 
@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(docs.schema[c] for c in keep), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in freed(batches):
             fps = [simhash((t.as_py() or "").encode(), shingle) for t in batch.column(len(names))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(fps, pa.int64())], names=[*names, "fp"])
 
@@ -101,7 +101,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.filter("a < b").distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).filter("x < y")
-        edges = cut(small.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        edges = cut(small.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), total[0])
 
 
 def group_near_copies(docs: DataFrame, shingle: int = 3, distance: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -122,9 +122,8 @@ def group_near_copies(docs: DataFrame, shingle: int = 3, distance: int = 2, keep
 def drop_near_copies(docs: DataFrame, distance: int = 2, shingle: int = 3) -> DataFrame:
     """docs with one document of each group of near copies: the row with the smallest doc_id (nulls last, then by content).
 
-    All columns stay as they are. Of repeated rows with that doc_id one stays.
+    All columns stay as they are, whatever their names and types. Of repeated rows one stays. An empty table gives no rows.
     """
-    named = docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    grouped = group_near_copies(named, shingle, distance, keep=("__row",))
-    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__row")).alias("f"))
-    return named.join(first.select(F.col("f.__row").alias("__row")), "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+    named = identified(docs)
+    rows = named.select("id", "h", F.col("id").alias("doc_id"), F.col("doc.text").alias("text"))
+    return first_of_each(named, group_near_copies(rows, shingle, distance, keep=("id", "h")).select("id", "h", "root"))

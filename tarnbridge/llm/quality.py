@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import workers_find_us
+from .common import freed, workers_find_us
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -67,7 +67,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(docs.schema[c] for c in keep), *(T.StructField(c, T.LongType()) for c in (*COUNTS, *MORE))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in freed(batches):
             rows = [measure(t.as_py() or "") for t in batch.column(len(kept))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))] if rows else [*batch.columns[: len(kept)], *(pa.array([], pa.int64()) for _ in (*COUNTS, *MORE))], names=names)
 
@@ -148,38 +148,46 @@ def _prune(conditions: list[Condition], x: np.ndarray, bad: np.ndarray) -> list[
     return conditions
 
 
-def learn(x: np.ndarray, bad: np.ndarray, precision: float = 0.98, max_rules: int = 12, max_conditions: int = 3, seed: int = 7) -> list[Rule]:
-    """A decision list of rules that reject. Learning stops where a rule is wrong too often on held-out rows or on all rows left."""
+def learn(x: np.ndarray, bad: np.ndarray, precision: float = 0.98, max_rules: int = 12, max_conditions: int = 3, seed: int = 7, patience: int = 6) -> list[Rule]:
+    """A decision list of rules that reject. A rule that is wrong too often on the rows left is not taken.
+
+    Another is then grown from another split of these rows; learning stops when `patience` rules in a row were not taken.
+    """
     rng = np.random.default_rng(seed)
-    left, rules = np.ones(len(x), bool), []
-    while len(rules) < max_rules and (bad & left).sum() >= 5:
+    left, rules, failed = np.ones(len(x), bool), [], 0
+    while len(rules) < max_rules and failed < patience and (bad & left).sum() >= 5:
         at = np.flatnonzero(left)
         rng.shuffle(at)
         grow, hold = at[: 2 * len(at) // 3], at[2 * len(at) // 3 :]
-        if not bad[grow].any():
-            break
-        conditions = _grow(x[grow], bad[grow], max_conditions)
+        conditions = _grow(x[grow], bad[grow], max_conditions) if bad[grow].any() else []
         if not conditions:
-            break
+            failed += 1
+            continue
         conditions = _prune(conditions, x[hold], bad[hold])
         m = Rule(tuple(conditions), 0, 0).holds(x) & left
         right, wrong = int((bad & m).sum()), int((~bad & m).sum())
         if right < 5 or right < precision * (right + wrong):
-            break
+            failed += 1
+            continue
+        failed = 0
         rules.append(Rule(tuple(conditions), right, wrong))
         left &= ~m
     return rules
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, precision: float = 0.98) -> list[Rule]:
-    """Rules from at most sample labelled rows of docs (label column quality: 0 is bad), the first by a hash of doc_id.
+    """Rules from at most sample labelled documents (label column quality: 0 is bad), the first by a hash of doc_id.
 
-    Labels without a document or a value count for nothing. With no bad or no good rows the list is empty.
+    Labels without a document or a value count for nothing; of a document's different labels the least holds, of its
+    different texts the one with the least statistics. The order of the rows plays no part. With no bad or no good rows
+    the list is empty.
     """
-    marked = labels.select("doc_id", "quality").dropna().dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    marked = labels.select("doc_id", "quality").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # at most sample rows of two numbers
     known = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")
-    rows = statistics(known, keep=("quality",)).toPandas()
+    measures = F.struct(*COUNTS, *MORE)
+    one = statistics(known, keep=("quality",)).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min(measures).alias("m"))
+    rows = one.select("quality", "m.*", F.xxhash64("doc_id").alias("__h"), F.col("doc_id").alias("__id")).toPandas().sort_values(["__h", "__id"])
     if not len(rows):
         return []
     x = np.column_stack([rows[a].to_numpy(float) / np.maximum(rows[b].to_numpy(float), 1) for a, b in FEATURES.values()])

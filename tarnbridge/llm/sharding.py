@@ -1,9 +1,9 @@
 """Sharding by a hierarchical weighted hash tree.
 
-A document descends region, rack and shard. At each level every child draws a hash of (document, child) scaled by the
-child's weight, and the largest draw wins. A draw depends on that child alone, so a changed weight moves documents
-only into or out of the subtrees whose weights change: a shard that comes in a region of its own takes documents only
-into itself.
+A document descends region, rack and shard; at each level the child with the largest draw wins. A shard's draw is a hash
+of (document, shard) scaled by the shard's weight, that of a rack or region is the largest below it. So draws are of
+weights that add up, and a changed weight moves documents only into or out of the shards whose weights change, also
+through the levels above them: a shard that comes takes documents only into itself.
 """
 
 from __future__ import annotations
@@ -29,39 +29,56 @@ class Node:
         return sum(c.weight for c in self.children) if self.children else self.own
 
 
+    @property
+    def shards(self) -> list[Node]:
+        return [x for c in self.children for x in c.shards] if self.children else [self]
+
+
 def even_tree(shards: int, racks: int = 2, per_rack: int = 2) -> Node:
-    """Regions of racks of shards; the first 16 shards make 4 regions. Further shards each come in a region of their own."""
-    full = shards - shards % (racks * per_rack)
+    """Regions of racks of shards. A shard's number says its region and rack for good."""
+    if shards < 1:
+        raise ValueError("a tree needs a shard")
+    per_region = racks * per_rack
     regions = []
-    for r, first in enumerate(range(0, full, racks * per_rack)):
-        rack = [Node(f"region{r}/rack{k}", tuple(Node(f"shard{s}", shard=s) for s in range(first + k * per_rack, first + (k + 1) * per_rack))) for k in range(racks)]
-        regions.append(Node(f"region{r}", tuple(rack)))
-    for s in range(full, shards):
-        regions.append(Node(f"region-of-{s}", (Node(f"region-of-{s}/rack0", (Node(f"shard{s}", shard=s),)),)))
+    for r in range(-(-shards // per_region)):
+        leaves = [Node(f"shard{s}", shard=s) for s in range(r * per_region, min(shards, (r + 1) * per_region))]
+        regions.append(Node(f"region{r}", tuple(Node(f"region{r}/rack{k}", tuple(leaves[k * per_rack : (k + 1) * per_rack])) for k in range(-(-len(leaves) // per_rack)))))
     return Node("root", tuple(regions))
 
 
-def _draw(key: Column, node: Node) -> Column:
-    """ln(u) / weight with u in (0, 1) from a hash of key and the node's name."""
-    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(node.name)), 11).cast("double") + 0.5) / float(1 << 53)
-    return F.ln(u) / F.lit(float(node.weight))
+def _draw(key: Column, shard: Node) -> Column:
+    """ln(u) / weight with u in (0, 1) from a hash of key and the shard's name."""
+    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(shard.name)), 11).cast("double") + 0.5) / float(1 << 53)
+    return F.ln(u) / F.lit(float(shard.own))
+
+
+def with_shards(rows: DataFrame, key: Column, trees: dict[str, Node]) -> DataFrame:
+    """rows with a column (int) for each tree: the shard that key comes to. Trees share the draws of shards of one name and weight.
+
+    A row costs one hash for each shard. Ties, which need equal 53-bit hashes, go to the first child. A tree in which no
+    shard has weight is an error.
+    """
+    shards = list(dict.fromkeys((x.name, x.own, x) for tree in trees.values() for x in tree.shards if x.own > 0))
+    place = {(name, own): i for i, (name, own, _) in enumerate(shards)}
+    draws = F.col("__draws")
+
+    def best(node: Node) -> Column:
+        below = [draws[place[x.name, x.own]] for x in node.shards if x.own > 0]
+        return F.greatest(*below) if len(below) > 1 else below[0]
 
+    def descend(node: Node) -> Column:
+        if not node.children:
+            return F.lit(node.shard).cast("int")
+        children = [c for c in node.children if c.weight > 0]
+        if not children:
+            raise ValueError(f"{node.name} has no weight")
+        out = descend(children[-1])
+        for child in reversed(children[:-1]):
+            out = F.when(best(child) == best(node), descend(child)).otherwise(out)
+        return out
 
-def choose_shard(key: Column, node: Node) -> Column:
-    """The shard (int) under node for key. Ties, which need equal 53-bit hashes, go to the first child."""
-    if node.shard is not None:
-        return F.lit(node.shard).cast("int")
-    children = [c for c in node.children if c.weight > 0]
-    if not children:
-        raise ValueError(f"{node.name} has no weight")
-    if len(children) == 1:
-        return choose_shard(key, children[0])
-    draws = [_draw(key, c) for c in children]
-    best = F.greatest(*draws)
-    out = choose_shard(key, children[-1])
-    for child, draw in reversed(list(zip(children[:-1], draws[:-1], strict=True))):
-        out = F.when(draw == best, choose_shard(key, child)).otherwise(out)
-    return out
+    drawn = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("__row"), F.array(*[_draw(key, x) for *_, x in shards]).alias("__draws"))
+    return drawn.select("__row.*", *[descend(tree).alias(name) for name, tree in trees.items()])
 
 
 def shard_documents(docs: DataFrame, tree: Node, grown: Node | None = None, id_col: str = "doc_id", text_col: str = "text", run: int = 4096, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -74,7 +91,9 @@ def shard_documents(docs: DataFrame, tree: Node, grown: Node | None = None, id_c
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), choose_shard(key, tree).alias("shard"), (choose_shard(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"), *keep)
+    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key.alias("__key"), *keep)
+    rows = with_shards(rows, F.col("__key"), {"shard": tree, **({"grown_shard": grown} if grown else {})}).drop("__key")
+    rows = rows if grown else rows.withColumn("grown_shard", F.lit(None).cast("int"))
     runs = max(1, min(1 << 20, -(-docs.count() // run)))
     rows = rows.withColumn("__run", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(7)), F.lit(runs)))
     sizes = rows.groupBy("shard", "__run").agg(F.count("*").alias("__n"))

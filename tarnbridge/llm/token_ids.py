@@ -34,7 +34,7 @@ WORDS = {"byte": rf"^ [{LETTERS}]+$", "word": rf"^[{LETTERS}]+$"}
 #: Between units, and before the number of a text that goes to the library whole.
 BREAK, WHOLE = "\x02", "\x01"
 #: Units that are remembered and their ids; bytes of text that are encoded at once; words in one call of the library.
-MOST_UNITS, MOST_IDS, SLICE_BYTES, WORDS_AT_ONCE = 600_000, 4_000_000, 8_000_000, 500
+MOST_UNITS, MOST_IDS, SLICE_BYTES, WORDS_AT_ONCE = 400_000, 3_000_000, 4_000_000, 500
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -46,6 +46,7 @@ def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Itera
         to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 class UnitEncoder:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -80,6 +81,48 @@ def test_license_scan_finds_short_creative_commons_forms(spark):
     assert [(r["base_labels"], r["n_base"]) for r in got] == [("", 0)] * 5 + [("mit", 1)]
 
 
+def _brute_spans(text):
+    """(label, start, end, share) of passages, from all hits, diagonal by diagonal."""
+    words = [w for w in re.split(licenses.NOT_WORD, text.lower()) if w]
+    out = []
+    for label, passage in licenses.PASSAGES.items():
+        own = [w for w in re.split(licenses.NOT_WORD, passage.lower()) if w]
+        grams = {i: g for i, g in enumerate(zip(own, own[1:], strict=False)) if not set(g) <= licenses.COMMON}
+        hits = sorted((p, t) for p, g in enumerate(zip(words, words[1:], strict=False)) for t, h in grams.items() if g == h)
+        spans = {}
+        for d in {p - t for p, t in hits}:
+            n, last_p, last_t = 0, -1, -1
+            for p, t in hits:
+                if d <= p - t <= d + licenses.SLACK and t > last_t and p > last_p:
+                    n, last_p, last_t = n + 1, p, t
+            spans[d] = (n / len(grams), last_p + 1)
+        for d, (share, end) in spans.items():
+            around = [(s if s >= licenses.ENOUGH else 0, -e) for e, (s, _) in spans.items() if abs(e - d) <= licenses.SLACK]
+            if share >= licenses.ENOUGH and (share, -d) == max(around):
+                out.append((label, max(d, 0), end, round(share, 4)))
+    return sorted(out)
+
+
+def test_license_spans_are_verified_in_order(spark):
+    bsd = [w for w in re.split(licenses.NOT_WORD, licenses.PASSAGES["bsd"]) if w]
+    filler = " ".join(f"{a} {b} filler" for a, b in zip(bsd[::2], bsd[1::2], strict=False))
+    halves = " ".join(bsd[len(bsd) // 2 :] + bsd[: len(bsd) // 2])
+    one_more = " ".join(["intro", *bsd[:20], "really", *bsd[20:], "and", "more"])
+    twice = " ".join([*bsd, "then", "again", *bsd])
+    rng, texts = random.Random(2), [filler, halves, one_more, twice]
+    for _ in range(60):
+        words = rng.choice(list(licenses.PASSAGES.values())).split()
+        for _ in range(rng.randrange(8)):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice([[], ["x", words[at]], ["y"]])
+        texts.append(" ".join(["pre"] * rng.randrange(5) + words))
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0]["labels"] == got[1]["labels"] == "" and got[2]["labels"] == got[3]["labels"] == "bsd" and len(got[3]["spans"]) == 2
+    assert (got[2]["spans"][0]["start"], got[2]["spans"][0]["end"]) == (1, len(bsd) + 1)
+    for i, text in enumerate(texts):
+        assert sorted(tuple(x) for x in got[i]["spans"] if x["label"] in licenses.PASSAGES and x["share"] < 1 or x["end"] - x["start"] > 4) == _brute_spans(text)
+
+
 def test_license_scan_keeps_repeated_rows(spark):
     twice = spark.createDataFrame([(1, "MIT License")] * 2 + [(None, None)], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["n_base"]) for r in licenses.scan_licenses(twice).collect()) == [(0, 0), (1, 1), (1, 1)]
@@ -211,6 +254,19 @@ def test_html_extraction(spark, sf):
     assert blocks_right > 0.98
 
 
+def test_html_is_read_in_linear_time():
+    """Pages of 1 MB whose tags are left open, and deep ones."""
+    for unit in ("<svg>x", '<a href="x', "<div>y ", "</b>z", "<!--", "<object>w<p>v", "<![CDATA[", "<title", "<p title='\">q", "</script>u", "<i>t", "<", "<p "):
+        page = "<body>" + unit * (1_000_000 // len(unit))
+        began = time.process_time()
+        html_blocks.blocks(page)
+        assert time.process_time() - began < 12, unit
+
+
+def test_html_keeps_formulas():
+    assert [b.text for b in html_blocks.blocks("<p>a <math><mi>x</mi></math> b<p>c")] == ["a x b", "c"]
+
+
 def test_html_with_elements_left_open():
     """Neither a head without its end tag nor an unclosed element that is not raw text takes the rest of the page."""
     texts = lambda page: [b.text for b in html_blocks.blocks(page)]
@@ -218,7 +274,8 @@ def test_html_with_elements_left_open():
     assert [b.path for b in html_blocks.blocks("<html><head><title>x</title><p>First.")] == [b.path for b in html_blocks.blocks("<html><p>First.")]
     for tag in ("svg", "object", "video", "audio", "canvas", "math", "noscript", "template"):
         assert texts(f"<p>First.</p><{tag} a=b><p>Second.</p>")[-1] == "Second.", tag
-        assert texts(f"<p>First.</p><{tag}>silent</{tag}><p>Second.</p>") == ["First.", "Second."], tag
+        if tag != "math":  # a formula is text
+            assert texts(f"<p>First.</p><{tag}>silent</{tag}><p>Second.</p>") == ["First.", "Second."], tag
     for tag in ("script", "style", "textarea", "title", "iframe"):
         assert texts(f"<p>First.</p><{tag}>silent <p>still") == ["First."], tag
 
@@ -385,6 +442,26 @@ def test_mixing_counts_real_tokens(spark, sf):
     assert all(r["n_tokens"] == packed[r["doc_id"]] for r in got)
 
 
+def test_quality_rules_do_not_depend_on_the_order_of_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    want = quality.fit(docs, labels)
+    assert want
+    for seed in (1, 2):
+        again = labels.union(labels.limit(50)).orderBy(F.rand(seed))
+        assert quality.fit(docs.union(docs.limit(100)).repartition(7).orderBy(F.rand(seed)), again) == want
+
+
+def test_quality_verdicts_by_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    got = {r["doc_id"]: r for r in quality.judge(docs, rules).collect()}
+    for r in docs.collect():
+        m = dict(zip((*quality.COUNTS, *quality.MORE), quality.measure(r["text"] or ""), strict=True))
+        first = next((k for k, rule in enumerate(rules, 1) if all((m[quality.FEATURES[c.feature][0]] / max(m[quality.FEATURES[c.feature][1]], 1) >= c.value) == c.above for c in rule.conditions)), None)
+        base = m["n_words"] < 50 or 100 * m["n_repeat_words"] > 50 * m["n_words"]
+        assert (got[r["doc_id"]]["base_failed"], got[r["doc_id"]]["rule"], got[r["doc_id"]]["kept"]) == (base, first, not base and first is None)
+
+
 def test_quality_rules(spark, sf):
     got = {r["doc_id"]: r for r in rows(spark, sf, "op7_quality_rules")}
     for doc_id, text, *_ in ROWS:
@@ -412,6 +489,29 @@ def test_decision_list_on_held_out_rows():
     assert quality.learn(x[:10], np.zeros(10, bool)) == []
 
 
+def test_one_more_shard_takes_rows_only_into_itself(spark):
+    """For every number of shards, and by brute force."""
+    trees = {f"n{n}": sharding.even_tree(n) for n in range(1, 65)}
+    got = sharding.with_shards(spark.range(3000).withColumn("k", F.col("id").cast("string")), F.col("k"), trees).collect()
+    for n in range(1, 64):
+        moved = [(r[f"n{n}"], r[f"n{n + 1}"]) for r in got if r[f"n{n}"] != r[f"n{n + 1}"]]
+        assert all(b == n for _, b in moved) and len(moved) < 3 * 3000 / (n + 1) + 30
+    for r in got[:200]:
+        u = [((_spark_hash(r["k"], f"shard{s}") >> 11) + 0.5) / (1 << 53) for s in range(64)]
+        assert all(r[f"n{n}"] == max(range(n), key=lambda s: u[s]) for n in range(1, 65))
+
+
+def test_weights_decide_how_much_a_shard_gets(spark):
+    leaf = lambda s, w: sharding.Node(f"s{s}", shard=s, own=w)
+    tree = lambda w: sharding.Node("root", (sharding.Node("r0", (sharding.Node("r0k0", (leaf(0, 1.0), leaf(1, w))),)), sharding.Node("r1", (leaf(2, 4.0), leaf(3, 0.0)))))
+    got = sharding.with_shards(spark.range(20_000).withColumn("k", F.col("id").cast("string")), F.col("k"), {"a": tree(1.0), "b": tree(3.0)}).groupBy("a", "b").count().collect()
+    sizes = Counter()
+    for r in got:
+        assert r["a"] == r["b"] or r["b"] == 1
+        sizes[r["a"]] += r["count"]
+    assert 3 not in sizes and abs(sizes[2] / 20_000 - 4 / 6) < 0.02 and abs(sizes[0] / 20_000 - 1 / 6) < 0.02
+
+
 def test_sharding(spark, sf):
     got = rows(spark, sf, "op8_hash_tree_sharding")
     texts = {r[0]: r[1] or "" for r in ROWS}

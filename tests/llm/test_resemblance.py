@@ -4,7 +4,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from tarnbridge.llm import resemblance
+from tarnbridge.llm import near_copies, resemblance
 
 WORDS = np.array([f"w{i}" for i in range(500)])
 
@@ -42,11 +42,12 @@ def texts_of(rng):
     return texts
 
 
-@pytest.mark.parametrize("dense", [2, 1000])
-def test_all_pairs_of_the_similarity_link(spark, dense):
+@pytest.mark.parametrize("limits", [{"block": 4, "family": 8}, {"block": 16}, {"block_shingles": 300, "block": 16}, {}])
+def test_all_pairs_of_the_similarity_link(spark, limits):
+    """Also where families fall apart into keys, and blocks meet."""
     texts = texts_of(np.random.default_rng(3))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    got = resemblance.drop_resembling(docs, dense=dense)
+    got = resemblance.drop_resembling(docs, **limits)
     assert sorted(r["doc_id"] for r in got.collect()) == slow_firsts(texts)
 
 
@@ -64,3 +65,12 @@ def test_repeated_rows_and_null_ids(spark):
     got = resemblance.drop_resembling(spark.createDataFrame(data, "doc_id long, text string"))
     assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == [("7", "a b c d e f"), ("None", "x y z")]
     assert resemblance.drop_resembling(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_names_and_types_of_other_columns_do_not_matter(spark):
+    data = [(i, t, {"k": i}, float(i), [i], i, i) for i, t in ((3, "a b c d e f"), (2, "A b c d e f"), (5, None), (4, ""), (9, "z"))]
+    docs = spark.createDataFrame(data, "doc_id long, text string, m map<string,int>, `a.b` double, keys array<int>, __row int, id int")
+    for drop in (resemblance.drop_resembling, near_copies.drop_near_copies):
+        got = drop(docs)
+        assert got.columns == docs.columns
+        assert sorted((r["doc_id"], r["m"]["k"], r["a.b"], r["__row"], r["id"]) for r in got.collect()) == [(i, i, float(i), i, i) for i in (2, 4, 9)]
