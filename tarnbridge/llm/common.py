@@ -43,17 +43,25 @@ def shared_dir(spark: SparkSession) -> str:
 ROWS_A_FILE = 250_000
 
 
-def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+def few_files(df: DataFrame, rows: int, work: bool = True) -> DataFrame:
+    """df in no more partitions than so many rows are worth: each file that is written costs several calls of the file system.
+
+    With work, the last stage computes something, and keeps two tasks for each core.
+    """
+    return df.coalesce(max(1 + rows // ROWS_A_FILE, 2 * df.sparkSession.sparkContext.defaultParallelism if work else 1))
+
+
+def cut(df: DataFrame, rows: int | None = None, work: bool = True) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from the files, so that lost executors cost no recomputation.
 
     rows: about how many it has, if that is known; few need few files.
     """
     shared_dir(df.sparkSession)
-    return (df if rows is None else df.coalesce(1 + rows // ROWS_A_FILE)).checkpoint()
+    return (df if rows is None else few_files(df, rows, work)).checkpoint()
 
 
 #: Rows that are broadcast at most.
-FEW = 2_000_000
+FEW = 500_000
 
 
 def few_or_not(df: DataFrame, few: int = FEW) -> DataFrame:
@@ -72,19 +80,19 @@ def identified(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(*[_hashable(f) for f in docs.schema]).alias("h"))
 
 
-def first_of_each(named: DataFrame, rooted: DataFrame) -> DataFrame:
+def first_of_each(named: DataFrame, rooted: DataFrame, rows: int) -> DataFrame:
     """The documents of identified rows `named` that come first among those of their root: by id, nulls last, then by content.
 
-    rooted: (id, h, root) of every row. Of repeated rows one stays. Only the rows that go, and repeated ones, are joined to the
+    rooted: (id, h, root) of every row, about `rows` of them. Of repeated rows one stays. Only the rows that go, and repeated ones, are joined to the
     documents; they are broadcast where they are few.
     """
-    rooted = cut(rooted)
+    rooted = cut(rooted, rows)
     order = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("h").alias("h"))
     groups = rooted.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("rows")).filter("rows > 1").select("root", "first")
     gone = rooted.join(groups, "root").filter(order != F.col("first")).select("id", "h").distinct()
     again = rooted.groupBy("id", "h").agg(F.count("*").alias("rows")).filter("rows > 1").select("id", "h")
     same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_"))
-    gone, again = (cut(x).withColumnsRenamed({"id": "id_", "h": "h_"}) for x in (gone, again))
+    gone, again = (cut(x, rows).withColumnsRenamed({"id": "id_", "h": "h_"}) for x in (gone, again))
     out = named.join(few_or_not(gone), same, "left_anti")
     if again.isEmpty():
         return out.select("doc.*")

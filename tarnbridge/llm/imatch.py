@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import NOT_WORD, cut
+from .common import NOT_WORD, cut, few_files
 
 #: Subsets: a term is in one of level n with chance 1 / 2**n. REPLICAS rows of nested subsets, each drawn by LEVELS bits of a term's hash.
 LEVELS, REPLICAS = 10, 6
@@ -153,7 +153,7 @@ def compare_with_edits(docs: DataFrame, rarest: float = RAREST, commonest: float
     edited = edited.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("edited_sha256", F.sha2("edited", 256))
     found = fingerprints(edited, ["run", "place"], ["text", "edited"], lex, ["doc_id", "n_chars", "edited_sha256", "ghost"])
     found = found.withColumn("next_fp", F.lead("fp0").over(W.partitionBy("run").orderBy("place"))).filter(~F.col("ghost"))
-    return found.select(
+    return few_files(found, docs.count()).select(
         F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id"), "n_chars", "edited_sha256", as_text(F.col("fp0")).alias("fingerprint"), as_text(F.col("fp1")).alias("edited_fingerprint"),
         likeness(F.col("fp0"), F.col("fp1")).alias("near_edited"), likeness(F.col("fp0"), F.col("next_fp")).alias("near_next"),
     )

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import NOT_WORD, words_of
+from .common import NOT_WORD, few_files, words_of
 
 #: The phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -124,6 +124,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, passag
         F.array_sort(F.collect_list(F.when(sound, span))).alias("spans"),
     )
     again = F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("time")
+    found = few_files(found, docs.count())
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans", again).drop("time")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, first_of_each, freed, identified, workers_find_us
+from .common import cut, few_files, first_of_each, freed, identified, workers_find_us
 
 SEED, BITS, BLOCKS, DENSE = 42, 64, 6, 48
 
@@ -65,7 +65,7 @@ def _apart(a: str | Column, b: str | Column) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def links(nodes: DataFrame, distance: int = 2, blocks: int = BLOCKS, dense: int = DENSE) -> DataFrame:
+def links(nodes: DataFrame, distance: int = 2, blocks: int = BLOCKS, dense: int = DENSE, rows: int | None = None) -> DataFrame:
     """(a, b), a < b, over distinct fingerprints (fp): enough links to connect all that are within distance of each other.
 
     Links inside keys with at most dense members are complete. In denser keys, with distance 2, members are linked
@@ -75,7 +75,7 @@ def links(nodes: DataFrame, distance: int = 2, blocks: int = BLOCKS, dense: int
         raise ValueError("dense keys are resolved for a distance of 2")
     keyed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in _masks(blocks, distance)])).alias("k", "key"))
     sizes = keyed.groupBy("k", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = cut(keyed.join(sizes, ["k", "key"]))
+    shared = cut(keyed.join(sizes, ["k", "key"]), rows)
     few = shared.filter(F.col("n") <= dense)
     a, b = few.select("k", "key", F.col("fp").alias("a")), few.select("k", "key", F.col("fp").alias("b"))
     near = a.join(b, ["k", "key"]).filter((F.col("a") < F.col("b")) & (_apart("a", "b") <= distance)).select("a", "b")
@@ -87,9 +87,9 @@ def links(nodes: DataFrame, distance: int = 2, blocks: int = BLOCKS, dense: int
     return near.union(middle).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): root is the smallest node reachable. Alternating large and small stars; each round is written to shared files."""
-    edges, before = cut(edges.select("a", "b")), None
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """(node, root): root is the smallest node reachable. Alternating large and small stars; each round is written to shared files. rows: about how many edges there are, if known."""
+    edges, before = cut(edges.select("a", "b"), rows), None
     while True:
         total = edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
         if tuple(total) == before:
@@ -101,7 +101,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.filter("a < b").distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).filter("x < y")
-        edges = cut(small.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), total[0])
+        edges = cut(small.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), total[0], work=False)
 
 
 def group_near_copies(docs: DataFrame, shingle: int = 3, distance: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -111,12 +111,13 @@ def group_near_copies(docs: DataFrame, shingle: int = 3, distance: int = 2, keep
     A row without a doc_id takes part; component_id is null only if no row of its component has one.
     """
     rows = cut(fingerprints(docs, shingle, keep=keep))
-    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components(links(nodes.select("fp"), distance))
+    n = rows.count()
+    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), n)
+    found = components(links(nodes.select("fp"), distance, rows=n), n)
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = rooted.join(least, "root").select("fp", "root", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", *keep, "fp", "root", "component_id")
+    return few_files(rows.join(by_fp, "fp").select("doc_id", *keep, "fp", "root", "component_id"), n)
 
 
 def drop_near_copies(docs: DataFrame, distance: int = 2, shingle: int = 3) -> DataFrame:
@@ -126,4 +127,4 @@ def drop_near_copies(docs: DataFrame, distance: int = 2, shingle: int = 3) -> Da
     """
     named = identified(docs)
     rows = named.select("id", "h", F.col("id").alias("doc_id"), F.col("doc.text").alias("text"))
-    return first_of_each(named, group_near_copies(rows, shingle, distance, keep=("id", "h")).select("id", "h", "root"))
+    return first_of_each(named, group_near_copies(rows, shingle, distance, keep=("id", "h")).select("id", "h", "root"), docs.count())

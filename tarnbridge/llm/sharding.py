@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import few_files
+
 
 @dataclass(frozen=True)
 class Node:
@@ -94,9 +96,10 @@ def shard_documents(docs: DataFrame, tree: Node, grown: Node | None = None, id_c
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key.alias("__key"), *keep)
     rows = with_shards(rows, F.col("__key"), {"shard": tree, **({"grown_shard": grown} if grown else {})}).drop("__key")
     rows = rows if grown else rows.withColumn("grown_shard", F.lit(None).cast("int"))
-    runs = max(1, min(1 << 20, -(-docs.count() // run)))
+    n = docs.count()
+    runs = max(1, min(1 << 20, -(-n // run)))
     rows = rows.withColumn("__run", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(7)), F.lit(runs)))
     sizes = rows.groupBy("shard", "__run").agg(F.count("*").alias("__n"))
     before = sizes.select("shard", "__run", (F.sum("__n").over(W.partitionBy("shard").orderBy("__run")) - F.col("__n")).alias("__before"))
     placed = rows.withColumn("__place", F.row_number().over(W.partitionBy("shard", "__run").orderBy("doc_id", "text_crc32", "size")))
-    return placed.join(before, ["shard", "__run"]).select("doc_id", "size", "text_crc32", "shard", (F.col("__before") + F.col("__place") - 1).alias("slot"), "grown_shard", *keep)
+    return few_files(placed.join(before, ["shard", "__run"]), n).select("doc_id", "size", "text_crc32", "shard", (F.col("__before") + F.col("__place") - 1).alias("slot"), "grown_shard", *keep)
