@@ -48,16 +48,18 @@ def elapsed_diff(part: str, a: Column, b: Column) -> Column:
 def canonical(c: Column, kind: T.DataType) -> Column:
     """A value's text, equal for equal values of either side; null stays null.
 
-    Decimals and floating numbers are written as decimals without trailing zeros, times in ISO form, bytes as
-    base64 with a mark, text as it is; nested values as JSON.
+    Numbers are written as decimals without trailing zeros; a floating number that has no exact short decimal, in the
+    shortest form that reads back as the same number. Both zeros are one. Times are in ISO form, bytes are base64 with a
+    mark, text is as it is; nested values are JSON.
     """
     if isinstance(kind, T.DecimalType):
         text = c.cast("string")
         return F.when(F.contains(text, F.lit(".")), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        text = F.format_string("%.6f", c.cast("double"))
-        plain = F.regexp_replace(text, r"\.?0+$", "")
-        return F.when(c.isNull(), None).when(F.isnan(c), "NaN").when(F.abs(c) >= 1e15, c.cast("string")).otherwise(F.when(plain == "-0", "0").otherwise(plain))
+        text = c.cast("double").cast("string")
+        exact = text.try_cast("decimal(38,18)")
+        plain = F.regexp_replace(exact.cast("string"), r"\.?0+$", "")
+        return F.when(exact.cast("double") == c.cast("double"), plain).otherwise(text)
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     if isinstance(kind, T.BinaryType):

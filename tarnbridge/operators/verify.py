@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import canonical
+from ..storage import written
 
 MATCH, DIFFERENT, SOURCE_ONLY, TARGET_ONLY = "match", "different", "source_only", "target_only"
 ALGORITHM = "tarnbridge-row-multiset-sha256-1"
@@ -79,18 +80,20 @@ def row_diff(source: DataFrame, target: DataFrame, key: Sequence[str], columns:
     return joined.select(*out, status.alias("status"), *[f"source_{c}" for c in values], *[f"target_{c}" for c in values], F.when(status == DIFFERENT, changed).otherwise(F.array().cast("array<string>")).alias("changed"))
 
 
-def number_rows(df: DataFrame, order: Sequence[str], name: str = "position", run: int = 1 << 16) -> DataFrame:
+def number_rows(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
     """df with each row's place from 1 on in the order of `order`, without bringing all rows to one task.
 
-    Rows are dealt by ranges; places within a range are counted there, and ranges' sizes (one row a range) are summed.
+    Rows are dealt by ranges and written with their place in their range; only then are ranges counted, so that sizes and
+    places come from the same deal. The sizes (one row a range, 4096 at most) are summed. Rows of equal order get
+    different places. An empty table stays empty.
     """
     parts = max(1, min(4096, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    ranged = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
-    sized = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
+    # the identifier holds the partition above 33 bits and the row below
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    placed = written(ranged).withColumn("__part", F.shiftright("__at", 33)).withColumn("__place", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+    sized = placed.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sized.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))
-    placed = ranged.withColumn("__place", F.row_number().over(W.partitionBy("__part").orderBy(*order)))
-    # one row a partition
-    return placed.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__place")).drop("__part", "__place", "__before")
+    return placed.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__place") + 1).drop("__part", "__place", "__before", "__at")
 
 
 def positional_diff(source: DataFrame, target: DataFrame, source_order: Sequence[str], target_order: Sequence[str] | None = None, columns: Sequence[str] | None = None) -> DataFrame:
@@ -125,8 +128,11 @@ def fingerprint_parts(df: DataFrame, columns: Sequence[str] | None = None, text:
     """One row: n, and eight sums and eight exclusive ors of the 32-bit parts of the rows' SHA-256. Two-phase aggregation, no order."""
     digest = F.sha2(text if text is not None else row_text(df, columns), 256)
     parts = df.select(digest.alias("h")).select(*[F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("long").alias(f"p{i}") for i in range(8)])
-    sums = [F.coalesce(F.sum(F.col(f"p{i}").cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)").alias(f"sum{i}") for i in range(8)]
-    return parts.agg(F.count("*").alias("n"), *sums, *[F.coalesce(F.bit_xor(f"p{i}"), F.lit(0)).alias(f"xor{i}") for i in range(8)])
+    # sums of halves of 16 bits fit in a long up to 2 ** 47 rows; the total is put together once
+    halves = [F.sum(x).alias(f"{end}{i}") for i in range(8) for end, x in (("high", F.shiftright(f"p{i}", 16)), ("low", F.col(f"p{i}").bitwiseAND(F.lit(0xFFFF))))]
+    counted = parts.agg(F.count("*").alias("n"), *halves, *[F.coalesce(F.bit_xor(f"p{i}"), F.lit(0)).alias(f"xor{i}") for i in range(8)])
+    total = lambda i: (F.coalesce(f"high{i}", F.lit(0)).cast("decimal(20,0)") * F.lit(65536) + F.coalesce(f"low{i}", F.lit(0))).cast("decimal(38,0)")
+    return counted.select("n", *[total(i).alias(f"sum{i}") for i in range(8)], *[f"xor{i}" for i in range(8)])
 
 
 def fingerprint(df: DataFrame, columns: Sequence[str] | None = None, text: Column | None = None) -> DataFrame:
@@ -150,14 +156,15 @@ def page(df: DataFrame, order: Sequence[str], number: int, size: int = 50) -> Da
 
 
 def after_key(df: DataFrame, key: Sequence[str], last: Sequence[object] | None, size: int) -> DataFrame:
-    """The next `size` rows behind key values `last`: the lexicographic condition in the form that sources can push down."""
+    """The next `size` rows behind key values `last`: the lexicographic condition in the form that sources can push down. Nulls come first."""
     if last is not None:
         cond = F.lit(False)
         for i in range(len(key)):
-            equal = reduce(lambda a, b: a & b, [F.col(k) == F.lit(v) for k, v in zip(key[:i], last[:i], strict=True)], F.lit(True))
-            cond = cond | (equal & (F.col(key[i]) > F.lit(last[i])))
+            equal = reduce(lambda a, b: a & b, [F.col(k).isNull() if v is None else F.col(k) == F.lit(v) for k, v in zip(key[:i], last[:i], strict=True)], F.lit(True))
+            behind = F.col(key[i]).isNotNull() if last[i] is None else F.col(key[i]) > F.lit(last[i])
+            cond = cond | (equal & behind)
         df = df.filter(cond)
-    return df.orderBy(*key).limit(size)
+    return df.orderBy(*[F.col(k).asc_nulls_first() for k in key]).limit(size)
 
 
 def diff_page(source: DataFrame, target: DataFrame, key: Sequence[str], number: int, size: int = 50) -> DataFrame:
