@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import canonical
-from ..model import PartitionChild, Table
+from ..model import Relation, Span
 from ..sqltext import translate_expression
 from ..types import to_spark
 from .verify import number_rows
@@ -19,19 +19,19 @@ WIDE = ("max", "text", "ntext", "image", "xml", "json", "jsonb", "bytea", "varbi
 REJECT_SAMPLE = 20
 
 
-def batch_size(table: Table) -> int:
+def batch_size(table: Relation) -> int:
     """25,000 rows a batch for JDBC; 5,000 for tables with long values."""
-    return 5_000 if any(w in c.type.lower() for c in table.columns for w in WIDE) else 25_000
+    return 5_000 if any(w in c.native.lower() for c in table.fields for w in WIDE) else 25_000
 
 
-def copied_columns(table: Table, dialect: str) -> tuple[list[str], list[str]]:
+def copied_columns(table: Relation, dialect: str) -> tuple[list[str], list[str]]:
     """(columns that are copied, warnings): computed columns and those without a counterpart stay behind."""
     names, warnings = [], []
-    for c in table.columns:
-        kind, warning = to_spark(c.type, dialect)
+    for c in table.fields:
+        kind, warning = to_spark(c.native, dialect)
         if kind is None:
             warnings.append(f"{table.name}.{c.name}: {warning}")
-        elif c.computed is None:
+        elif not c.filled_by("computed"):
             names.append(c.name)
     return names, warnings
 
@@ -62,19 +62,19 @@ def cast_with_rejects(df: DataFrame, types: Mapping[str, T.DataType], not_null:
     return good, rejects
 
 
-def with_computed(df: DataFrame, table: Table, dialect: str) -> DataFrame:
+def with_computed(df: DataFrame, table: Relation, dialect: str) -> DataFrame:
     """Computed columns from their expressions, cast to their types."""
     integers = [f.name for f in df.schema if isinstance(f.dataType, (T.IntegerType, T.LongType, T.ShortType))]
     strings = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    for c in table.columns:
-        if c.computed is not None:
-            kind, _ = to_spark(c.type, dialect)
-            value = F.expr(translate_expression(c.computed, dialect, "spark", integers=integers, strings=strings)[0])
+    for c in table.fields:
+        if rule := c.filled_by("computed"):
+            kind, _ = to_spark(c.native, dialect)
+            value = F.expr(translate_expression(rule.text, dialect, "spark", integers=integers, strings=strings)[0])
             df = df.withColumn(c.name, value.cast(kind) if kind else value)
     return df
 
 
-def partition_of(column: Column, partitions: Sequence[PartitionChild]) -> Column:
+def partition_of(column: Column, partitions: Sequence[Span]) -> Column:
     """The partition that a value falls in, by half-open ranges; null: a value outside all, or null."""
     out = F.lit(None).cast("string")
     for p in reversed(partitions):
@@ -84,10 +84,10 @@ def partition_of(column: Column, partitions: Sequence[PartitionChild]) -> Column
     return out
 
 
-def range_right(table: str, boundaries: Sequence[object]) -> list[PartitionChild]:
+def range_right(table: str, boundaries: Sequence[object]) -> list[Span]:
     """n boundaries make n + 1 half-open ranges, the first and last unbounded."""
     edges = [None, *boundaries, None]
-    return [PartitionChild(f"{table}_p{i}", lo, hi) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False), 1)]
+    return [Span(f"{table}_p{i}", lo, hi) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False), 1)]
 
 
 def with_identity(df: DataFrame, name: str, order: Sequence[str], start: int = 1, increment: int = 1) -> DataFrame:

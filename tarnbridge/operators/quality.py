@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..model import Database
+from ..model import Catalog
 from ..sqltext import translate_expression
 
 
@@ -38,19 +38,19 @@ def check_violations(df: DataFrame, condition: str | Column, dialect: str = "spa
     return df.filter(~condition)
 
 
-def violations(tables: dict[str, DataFrame], db: Database) -> DataFrame:
+def violations(tables: dict[str, DataFrame], db: Catalog) -> DataFrame:
     """(table_name, constraint_name, kind, n) for every constraint of the model, broken or not."""
     out = []
     for t in db.tables:
         df = tables[t.name]
         add = lambda name, kind, bad, t=t: out.append(bad.agg(F.count("*").alias("n")).select(F.lit(t.name).alias("table_name"), F.lit(name).alias("constraint_name"), F.lit(kind).alias("kind"), "n"))
-        if t.primary_key:
-            add(t.primary_key.name, "primary_key", duplicate_keys(df, t.primary_key.columns, True))
-            add(t.primary_key.name, "not_null", null_keys(df, t.primary_key.columns))
-        for u in t.uniques:
-            add(u.name, "unique", duplicate_keys(df, u.columns))
-        for fk in t.foreign_keys:
-            add(fk.name, "foreign_key", orphans(df, fk.columns, tables[fk.ref_table], fk.ref_columns))
-        for c in t.checks:
-            add(c.name, "check", check_violations(df, c.definition, db.dialect))
+        for r in t.of("primary"):
+            add(r.name, "primary_key", duplicate_keys(df, r.fields, True))
+            add(r.name, "not_null", null_keys(df, r.fields))
+        for u in t.of("unique"):
+            add(u.name, "unique", duplicate_keys(df, u.fields))
+        for fk in t.of("foreign"):
+            add(fk.name, "foreign_key", orphans(df, fk.fields, tables[fk.other], fk.other_fields))
+        for c in t.of("check"):
+            add(c.name, "check", check_violations(df, c.condition, db.dialect))
     return reduce(DataFrame.unionByName, out)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import date_diff, elapsed_diff
-from .model import Column, Database, PartitionChild, Table, columns_frame
+from .model import Catalog, Field, Relation, Span, columns_frame, computed
 from .operators import changes, load, quality, verify
 from .sources import ParquetEndpoint, extract_model, scan
 from .sqltext import translate_expression, translate_query, translate_routine
@@ -131,9 +131,9 @@ def o06_compare_counts(spark, d):
     return verify.compare_counts({"orders": r("orders"), "customer": r("customer"), "part": r("part")}, {"orders": orders_target(spark, d), "customer": r("customer"), "supplier": r("supplier")})
 
 
-def _two_models() -> tuple[Database, Database]:
-    s = Database("s", "tsql", [Table("dbo.Products", [Column("Id", "INT", False), Column("Name", "NVARCHAR(50)"), Column("Price", "MONEY"), Column("Old", "INT")])])
-    t = Database("t", "postgres", [Table("public.products", [Column("id", "integer", False), Column("name", "character varying(50)"), Column("price", "numeric(10,2)"), Column("new", "text")])])
+def _two_models() -> tuple[Catalog, Catalog]:
+    s = Catalog("s", "tsql", [Relation("dbo.Products", [Field("Id", "INT", False), Field("Name", "NVARCHAR(50)"), Field("Price", "MONEY"), Field("Old", "INT")])])
+    t = Catalog("t", "postgres", [Relation("public.products", [Field("id", "integer", False), Field("name", "character varying(50)"), Field("price", "numeric(10,2)"), Field("new", "text")])])
     return s, t
 
 
@@ -146,7 +146,7 @@ def v04_pair_columns(spark, d):
 @query("SELECT * FROM (VALUES ('customer', 5), ('events', 6), ('lineitem', 11), ('nation', 3), ('orders', 6), ('part', 6), ('region', 2), ('supplier', 4)) AS v(table_name, n_columns)")
 def vs09_column_counts(spark, d):
     db = extract_model(ParquetEndpoint(spark, d), manifest={})
-    rows = [(t.name, c.name) for t in db.tables for c in t.columns if t.name in _TABLES]
+    rows = [(t.name, c.name) for t in db.tables for c in t.fields if t.name in _TABLES]
     return spark.createDataFrame(rows, "table_name string, c string").groupBy("table_name").agg(F.count("*").cast("int").alias("n_columns"))
 
 
@@ -208,7 +208,7 @@ def d11_check_violations(spark, d):
 @query("SELECT CASE WHEN o_orderdate < TIMESTAMP '1994-01-01' THEN 'o_p1' WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN 'o_p2' ELSE 'o_p3' END AS partition_name, count(*) AS n FROM orders GROUP BY 1")
 def x22_partition_assignment(spark, d):
     bounds = [F.lit(x).cast("timestamp_ntz") for x in ("1994-01-01", "1996-01-01")]
-    parts = [PartitionChild("o_p1", None, bounds[0]), PartitionChild("o_p2", bounds[0], bounds[1]), PartitionChild("o_p3", bounds[1], None)]
+    parts = [Span("o_p1", None, bounds[0]), Span("o_p2", bounds[0], bounds[1]), Span("o_p3", bounds[1], None)]
     return read(spark, d, "orders").groupBy(load.partition_of(F.col("o_orderdate"), parts).alias("partition_name")).agg(F.count("*").alias("n"))
 
 
@@ -222,7 +222,7 @@ def m07_rejects(spark, d):
 @query("SELECT l_orderkey, l_linenumber, CAST(round(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(18,2))), 2) AS DECIMAL(18,2)) AS net FROM lineitem")
 def d04_computed_column(spark, d):
     money = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("decimal(18,2)").alias("price"), F.col("l_discount").cast("decimal(18,2)").alias("discount"))
-    table = Table("l", [Column("net", "DECIMAL(18,2)", computed="([price]*(1-[discount]))")])
+    table = Relation("l", [Field("net", "DECIMAL(18,2)", filling=computed("([price]*(1-[discount]))"))])
     return load.with_computed(money, table, "tsql").select("l_orderkey", "l_linenumber", "net")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import repair_integer
-from ..model import Column, Database, ForeignKey, Key, Table, View
+from ..model import Catalog, Field, Relation, Rule
 from ..operators.load import batch_size
 
 
@@ -27,7 +27,7 @@ class MemoryEndpoint:
     def table(self, name: str) -> DataFrame:
         return self.tables[name]
 
-    def write(self, name: str, rows: DataFrame, table: Table | None = None) -> None:
+    def write(self, name: str, rows: DataFrame, table: Relation | None = None) -> None:
         self.tables[name] = rows
 
     def drop(self, name: str) -> None:
@@ -53,10 +53,10 @@ class ParquetEndpoint:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
-    def write(self, name: str, rows: DataFrame, table: Table | None = None) -> None:
+    def write(self, name: str, rows: DataFrame, table: Relation | None = None) -> None:
         writer = rows.write.mode("overwrite")
-        if table and table.partition_column and table.partition_column in rows.columns:
-            writer = writer.partitionBy(table.partition_column)
+        if table and table.split_by and table.split_by in rows.columns:
+            writer = writer.partitionBy(table.split_by)
         writer.parquet(f"{self.path}/{name}.parquet")
 
     def drop(self, name: str) -> None:
@@ -83,10 +83,23 @@ class CatalogEndpoint:
     def table(self, name: str) -> DataFrame:
         return self.spark.table(f"`{self.namespace}`.`{name}`")
 
-    def write(self, name: str, rows: DataFrame, table: Table | None = None) -> None:
+    def write(self, name: str, rows: DataFrame, table: Relation | None = None) -> None:
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{self.namespace}`")
         rows.write.mode("overwrite").format("parquet").saveAsTable(f"`{self.namespace}`.`{name}`")
 
+    def append(self, name: str, rows: DataFrame) -> None:
+        rows.select(*self.table(name).columns).write.mode("append").insertInto(f"`{self.namespace}`.`{name}`")
+
+    def execute(self, sql: str) -> DataFrame:
+        """A statement whose unqualified names are of this namespace."""
+        before = self.spark.catalog.currentDatabase()
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{self.namespace}`")
+        self.spark.catalog.setCurrentDatabase(self.namespace)
+        try:
+            return self.spark.sql(sql)
+        finally:
+            self.spark.catalog.setCurrentDatabase(before)
+
     def drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS `{self.namespace}`.`{name}`")
 
@@ -108,7 +121,7 @@ class JdbcEndpoint:
     def query(self, sql: str) -> DataFrame:
         return self.spark.read.format("jdbc").options(url=self.url, query=sql, **self.options).load()
 
-    def table(self, name: str, split_on: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 1, table: Table | None = None) -> DataFrame:
+    def table(self, name: str, split_on: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 1, table: Relation | None = None) -> DataFrame:
         options = {"url": self.url, "dbtable": name, "fetchsize": str(batch_size(table) if table else 25_000), **self.options}
         if split_on:
             if bounds is None:
@@ -117,7 +130,7 @@ class JdbcEndpoint:
             options |= {"partitionColumn": split_on, "lowerBound": str(bounds[0]), "upperBound": str(bounds[1] + 1), "numPartitions": str(parts)}
         return self.spark.read.format("jdbc").options(**options).load()
 
-    def write(self, name: str, rows: DataFrame, table: Table | None = None) -> None:
+    def write(self, name: str, rows: DataFrame, table: Relation | None = None) -> None:
         rows.write.format("jdbc").mode("append").options(url=self.url, dbtable=name, batchsize=str(batch_size(table) if table else 25_000), **self.options).save()
 
 
@@ -150,30 +163,31 @@ _NATIVE = {
 }
 
 
-def extract_model(source, name: str = "database", dialect: str = "postgres", manifest: dict | None = None) -> Database:
-    """The model of an endpoint's tables; a manifest {table: {primary_key, foreign_keys, unique...}} adds what files do not say.
+def extract_model(source, name: str = "database", dialect: str = "postgres", manifest: dict | None = None) -> Catalog:
+    """The model of an endpoint's tables; a manifest {table: {primary_key, unique, checks, foreign_keys}, __views__: {name: query}} adds what files do not say.
 
     A part of the manifest that cannot be read becomes a warning; the rest goes on.
     """
-    db = Database(name, dialect)
+    db = Catalog(name, dialect)
     notes = manifest if manifest is not None else (source.manifest() if hasattr(source, "manifest") else {})
     for t in source.table_names():
-        table = Table(t)
+        table = Relation(t)
         for f in source.table(t).schema:
             kind = f.dataType.typeName()
             native = f"DECIMAL({f.dataType.precision},{f.dataType.scale})" if kind == "decimal" else _NATIVE[dialect].get(kind)
             if native is None:
                 db.warnings.append(f"{t}.{f.name}: {f.dataType.simpleString()} needs review")
                 native = f.dataType.simpleString()
-            table.columns.append(Column(f.name, native, f.nullable))
+            table.fields.append(Field(f.name, native, f.nullable))
         try:
             said = notes.get(t, {})
             if "primary_key" in said:
-                table.primary_key = Key(f"pk_{t}", list(said["primary_key"]))
-            table.foreign_keys += [ForeignKey(f"fk_{t}_{i}", list(k["columns"]), k["ref_table"], list(k["ref_columns"])) for i, k in enumerate(said.get("foreign_keys", []))]
+                table.rules.append(Rule("primary", f"pk_{t}", list(said["primary_key"])))
+            table.rules += [Rule("unique", f"uq_{t}_{i}", list(k)) for i, k in enumerate(said.get("unique", []))]
+            table.rules += [Rule("check", f"ck_{t}_{i}", condition=k) for i, k in enumerate(said.get("checks", []))]
+            table.rules += [Rule("foreign", f"fk_{t}_{i}", list(k["columns"]), other=k["ref_table"], other_fields=list(k["ref_columns"]), on=dict(k.get("on", {}))) for i, k in enumerate(said.get("foreign_keys", []))]
         except (KeyError, TypeError) as e:
             db.warnings.append(f"the manifest of {t} could not be read: {e}")
-        db.tables.append(table)
-    for v in notes.get("__views__", {}).items():
-        db.views.append(View(*v))
+        db.relations.append(table)
+    db.relations += [Relation(v, query=text) for v, text in notes.get("__views__", {}).items()]
     return db

@@ -1,11 +1,13 @@
 """Model, types, translators, DDL, migration: behaviour that no query shows."""
 
+from uuid import uuid4
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnbridge.functions import canonical, repair_integer
-from tarnbridge.model import Check, Column, Database, ForeignKey, Index, Key, Permission, Principal, Sequence, Synonym, Table, UserType, View, columns_frame, object_key, objects_frame
+from tarnbridge.model import Access, Catalog, Code, Entry, Field, Relation, Rule, columns_frame, computed, default, identity, object_key, objects_frame, ordinals_frame
 from tarnbridge.operators import changes, load, quality, verify
 from tarnbridge.plans.convert import UnsupportedStatement, convert_sql
 from tarnbridge.plans.ddl import assess, plan_ddl, short_name, strip_default, translate_default, view_select
@@ -15,18 +17,16 @@ from tarnbridge.sqltext import split_statements, translate_expression, translate
 from tarnbridge.types import convert_type, rebuild_type, to_spark
 
 
-def shop() -> Database:
-    items = Table("dbo.Items", [Column("ItemID", "INT", False, identity=(1, 1)), Column("OrderID", "INT"), Column("Qty", "INT"), Column("Price", "DECIMAL(18,2)"), Column("Total", "DECIMAL(18,2)", computed="([Qty]*[Price])"), Column("Odd", "SQL_VARIANT"), Column("On", "BIT", default="((1))")], Key("PK_Items", ["ItemID"]))
-    items.foreign_keys.append(ForeignKey("FK_o", ["OrderID"], "dbo.Orders", ["OrderID"], "CASCADE"))
-    items.checks.append(Check("CK_q", "([Qty]>(0))"))
-    items.indexes += [Index("IX_on", ["Qty"], where="[On]=(1)", include=["Price"]), Index("CS", ["Qty"], kind="columnstore")]
-    orders = Table("dbo.Orders", [Column("OrderID", "INT", False), Column("At", "DATETIME", default="(getdate())"), Column("Note", "NVARCHAR(MAX)", collation="SQL_Latin1_General_CP1_CI_AS")], Key("PK_Orders", ["OrderID"]))
-    db = Database("shop", "tsql", [items, orders], [View("dbo.vOn", "CREATE VIEW dbo.vOn AS WITH q AS (SELECT ItemID FROM dbo.Items WHERE [On] = 1) SELECT TOP 3 ItemID AS 'the id' FROM q")])
-    db.sequences.append(Sequence("dbo.Seq", 1, 1, 500))
-    db.synonyms += [Synonym("dbo.Its", "[shop].[dbo].[Items]"), Synonym("dbo.P", "dbo.proc", "procedure")]
-    db.types.append(UserType("dbo.Phone", "alias", "VARCHAR(11)"))
-    db.principals += [Principal("readers", "role"), Principal("app", "user", ["readers"]), Principal("public", "role")]
-    db.permissions += [Permission("readers", "SELECT", "dbo.Orders", with_option=True), Permission("app", "DELETE", "dbo.Orders", "DENY")]
+def shop() -> Catalog:
+    items = Relation("dbo.Items", [Field("ItemID", "INT", False, identity()), Field("OrderID", "INT"), Field("Qty", "INT"), Field("Price", "DECIMAL(18,2)"), Field("Total", "DECIMAL(18,2)", filling=computed("([Qty]*[Price])")), Field("Odd", "SQL_VARIANT"), Field("On", "BIT", filling=default("((1))"))])
+    items.rules = [Rule("primary", "PK_Items", ["ItemID"]), Rule("foreign", "FK_o", ["OrderID"], other="dbo.Orders", other_fields=["OrderID"], on={"delete": "CASCADE"}), Rule("check", "CK_q", condition="([Qty]>(0))")]
+    items.accesses = [Access("IX_on", ["Qty"], where="[On]=(1)", carries=["Price"]), Access("CS", ["Qty"], "columnstore")]
+    orders = Relation("dbo.Orders", [Field("OrderID", "INT", False), Field("At", "DATETIME", filling=default("(getdate())")), Field("Note", "NVARCHAR(MAX)", collation="SQL_Latin1_General_CP1_CI_AS")], [Rule("primary", "PK_Orders", ["OrderID"])])
+    view = Relation("dbo.vOn", query="CREATE VIEW dbo.vOn AS WITH q AS (SELECT ItemID FROM dbo.Items WHERE [On] = 1) SELECT TOP 3 ItemID AS 'the id' FROM q")
+    db = Catalog("shop", "tsql", [items, orders, view])
+    db.entries += [Entry("sequence", "dbo.Seq", start=1, increment=1, current=500), Entry("synonym", "dbo.Its", target="[shop].[dbo].[Items]"), Entry("synonym", "dbo.P", target="dbo.proc", target_kind="procedure"), Entry("alias", "dbo.Phone", base="VARCHAR(11)")]
+    db.entries += [Entry("role", "readers"), Entry("user", "app", member_of=["readers"]), Entry("role", "public")]
+    db.entries += [Entry("grant", "readers", action="SELECT", securable="dbo.Orders", grantable=True), Entry("grant", "app", action="DELETE", securable="dbo.Orders", state="DENY")]
     return db
 
 
@@ -103,9 +103,10 @@ def test_text_conversion():
 
 
 def test_dependency_order_survives_cycles():
-    a, b, c = (Table(n) for n in "abc")
-    a.foreign_keys, b.foreign_keys = [ForeignKey("f", ["x"], "b", ["x"])], [ForeignKey("f", ["x"], "a", ["x"]), ForeignKey("g", ["x"], "c", ["x"])]
-    order = [t.name for t in Database("d", "tsql", [a, b, c]).in_dependency_order()]
+    a, b, c = (Relation(n) for n in "abc")
+    refers = lambda to: Rule("foreign", f"to_{to}", ["x"], other=to, other_fields=["x"])
+    a.rules, b.rules = [refers("b")], [refers("a"), refers("c")]
+    order = [t.name for t in Catalog("d", "tsql", [a, b, c]).by_dependency()]
     assert sorted(order) == ["a", "b", "c"] and order.index("c") < order.index("b") < order.index("a")
 
 
@@ -136,10 +137,11 @@ def test_rejects_and_copy_text(spark):
 
 def test_migration(spark, tmp_path):
     db = shop()
-    db.tables = [t for t in db.tables]
+    db.relations, db.entries = db.tables, []
     for t in db.tables:
         t.name = t.name.removeprefix("dbo.")
-        t.foreign_keys and setattr(t.foreign_keys[0], "ref_table", "Orders")
+        for r in t.of("foreign"):
+            r.other = "Orders"
     source = MemoryEndpoint(spark, {
         "Orders": spark.createDataFrame([(1, "x"), (2, "y")], "OrderID int, Note string").withColumn("At", F.lit("2024-01-01").cast("timestamp_ntz")),
         "Items": spark.createDataFrame([(1, 1, 2, 1.5, True), (2, 2, 3, 2.0, False), (3, 9, 0, 1.0, True)], "ItemID int, OrderID int, Qty int, Price double, On boolean"),
@@ -155,14 +157,51 @@ def test_migration(spark, tmp_path):
     assert {r.name: r.status for r in run_migration(spark, source, target, db).results} == {"Orders": "skipped", "Items": "success"}
 
 
-def test_migration_tells_what_is_not_copied(spark, tmp_path):
-    table = Table("T", [Column("a", "int")])
+def test_migration_tells_what_is_not_created(spark, tmp_path):
+    table = Relation("T", [Field("a", "int")])
     source = MemoryEndpoint(spark, {"T": spark.createDataFrame([(1,)], "a int")})
-    run = lambda **more: run_migration(spark, source, ParquetEndpoint(spark, str(tmp_path)), Database("d", "tsql", **more), reset=True)
-    assert run(tables=[table]).success
-    with_view = run(tables=[table], views=[View("V", "SELECT a FROM T")])
-    assert "view V is not created: only tables are migrated" in with_view.warnings
-    assert not run(tables=[table, Table("Absent", [Column("a", "int")])]).success
+    run = lambda *more: run_migration(spark, source, ParquetEndpoint(spark, str(tmp_path)), Catalog("d", "tsql", [table, *more]), reset=True)
+    assert run().success
+    with_view = run(Relation("V", query="SELECT a FROM T"))
+    assert not with_view.success and {(r.kind, r.name): (r.status, r.detail) for r in with_view.results}["view", "V"] == ("skipped", "the target takes tables only")
+    assert not run(Relation("Absent", [Field("a", "int")])).success
+
+
+def test_migration_creates_objects_and_says_what_failed(spark):
+    namespace = f"tb_moved_{uuid4().hex}"
+    db = Catalog("shop", "tsql", [
+        Relation("Lines", [Field("Id", "INT"), Field("Qty", "INT")]), Relation("Gone", [Field("Id", "INT")]),
+        Relation("dbo.Outer1", query="CREATE VIEW dbo.Outer1 AS SELECT COUNT(*) AS n FROM dbo.Big"), Relation("dbo.Big", query="CREATE VIEW dbo.Big AS SELECT [Id] FROM [dbo].[Lines] WHERE Qty > 5"),
+        Relation("dbo.OfGone", query="SELECT Id FROM dbo.Gone"), Relation("dbo.Broken", query="SELECT NoSuch FROM dbo.Lines"),
+    ])
+    db.code = [Code("scalar", "dbo.twice", "CREATE FUNCTION dbo.twice(@n INT) RETURNS INT AS BEGIN RETURN @n * 2 END"), Code("trigger", "dbo.tr", "...", "dbo.Lines", "AFTER", ("INSERT",))]
+    db.entries = [Entry("synonym", "dbo.L", target="[shop].[dbo].[Lines]"), Entry("synonym", "dbo.P", target="dbo.proc", target_kind="procedure"), Entry("sequence", "dbo.S", start=1)]
+    source = MemoryEndpoint(spark, {"Lines": spark.createDataFrame([(i, i) for i in range(10)], "Id int, Qty int")})
+    target = CatalogEndpoint(spark, namespace)
+    report = run_migration(spark, source, target, db)
+    got = {(r.kind, r.name): r.status for r in report.results}
+    assert got == {
+        ("table", "Lines"): "success", ("table", "Gone"): "skipped", ("view", "dbo.Outer1"): "success", ("view", "dbo.Big"): "success", ("view", "dbo.OfGone"): "skipped", ("view", "dbo.Broken"): "failed",
+        ("routine", "dbo.twice"): "success", ("trigger", "dbo.tr"): "skipped", ("synonym", "dbo.L"): "success", ("synonym", "dbo.P"): "skipped", ("sequence", "dbo.S"): "skipped",
+    }
+    assert target.execute("SELECT n FROM Outer1").first()[0] == 4 and target.execute("SELECT count(*) FROM L").first()[0] == 10 and target.execute("SELECT twice(21)").first()[0] == 42
+    target.append("Lines", spark.createDataFrame([(6, 60)], "Qty int, Id int"))
+    assert target.execute("SELECT n FROM Outer1").first()[0] == 5
+    spark.sql(f"DROP DATABASE {namespace} CASCADE")
+
+
+def test_objects_compare_with_their_bodies(spark):
+    def pg(condition, query):
+        t = Relation("public.items", [Field("qty", "integer", filling=default("0"))], [Rule("check", "ck", condition=condition), Rule("foreign", "f", ["qty"], other="public.o", other_fields=["id"], on={"delete": "CASCADE"})])
+        return Catalog("p", "postgres", [t, Relation("public.v", query=query)], entries=[Entry("role", "r"), Entry("grant", "r", action="SELECT", securable="public.items")])
+
+    s = Catalog("s", "tsql", [Relation("dbo.Items", [Field("Qty", "INT", filling=default("((0))"))], [Rule("check", "CK", condition="([Qty]>(0))"), Rule("foreign", "g", ["Qty"], other="dbo.O", other_fields=["Id"], on={"delete": "CASCADE"})]), Relation("dbo.V", query="CREATE VIEW dbo.V AS SELECT [Qty] FROM [dbo].[Items]")])
+    s.entries = [Entry("role", "R"), Entry("grant", "R", action="SELECT", securable="dbo.Items")]
+    status = lambda t: {r["section"]: r["status"] for r in verify.pair(objects_frame(spark, s), objects_frame(spark, t)).collect()}
+    assert set(status(pg("qty > 0", "SELECT qty FROM public.items")).values()) == {"match"}
+    other = status(pg("qty > 1", "SELECT qty + 1 AS qty FROM public.items"))
+    assert other["checks"] == other["views"] == "different" and other["tables"] == "match"
+    assert ordinals_frame(spark, s).first()["definition"] == "1"
 
 
 def test_endpoints_and_models(spark, tmp_path):
@@ -170,7 +209,7 @@ def test_endpoints_and_models(spark, tmp_path):
     cat.write("t1", spark.range(3))
     assert cat.table_names() == ["t1"] and cat.table("t1").count() == 3
     db = extract_model(cat, manifest={"t1": {"primary_key": ["id"]}})
-    assert db.tables[0].primary_key.columns == ["id"] and db.tables[0].columns[0].type == "bigint"
+    assert db.tables[0].key.fields == ["id"] and db.tables[0].fields[0].native == "bigint"
     cat.drop("t1")
     with pytest.raises(ValueError):
         endpoint("oracle", spark)
