@@ -118,6 +118,32 @@ class JdbcEndpoint:
         query = self.listing or "SELECT table_schema || '.' || table_name AS name FROM information_schema.tables WHERE table_type = 'BASE TABLE'"
         return [r[0] for r in self.query(query).collect()]
 
+    def test(self) -> str:
+        """The server's version; an error says why it cannot be reached."""
+        return self.query("SELECT @@VERSION AS v" if self.dialect == "tsql" else "SELECT version() AS v").first()[0]
+
+    def execute(self, *statements: str) -> None:
+        """Statements without rows, in one transaction."""
+        manager, properties = self.spark._jvm.java.sql.DriverManager, self.spark._jvm.java.util.Properties()
+        for k, v in self.options.items():
+            properties.setProperty(k, v)
+        connection = manager.getConnection(self.url, properties)
+        try:
+            connection.setAutoCommit(False)
+            statement = connection.createStatement()
+            for sql in statements:
+                statement.execute(sql)
+            connection.commit()
+        finally:
+            connection.close()
+
+    def catalog(self, name: str = "database") -> Catalog:
+        """The model of the server's own catalog; parts that cannot be listed are warnings."""
+        from .catalogs import catalog_from_frames, list_catalog
+
+        frames, warnings = list_catalog(self.query, self.dialect)
+        return catalog_from_frames(frames, name, self.dialect, warnings)
+
     def query(self, sql: str) -> DataFrame:
         return self.spark.read.format("jdbc").options(url=self.url, query=sql, **self.options).load()
 
