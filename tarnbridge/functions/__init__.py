@@ -10,8 +10,10 @@ from pyspark.sql import types as T
 PARTS = {
     **dict.fromkeys(("year", "yy", "yyyy"), "YEAR"), **dict.fromkeys(("quarter", "qq", "q"), "QUARTER"), **dict.fromkeys(("month", "mm", "m"), "MONTH"), **dict.fromkeys(("week", "wk", "ww"), "WEEK"),
     **dict.fromkeys(("day", "dd", "d", "dayofyear", "dy", "y"), "DAY"), **dict.fromkeys(("hour", "hh"), "HOUR"), **dict.fromkeys(("minute", "mi", "n"), "MINUTE"), **dict.fromkeys(("second", "ss", "s"), "SECOND"),
+    **dict.fromkeys(("millisecond", "ms"), "MILLISECOND"), **dict.fromkeys(("microsecond", "mcs"), "MICROSECOND"),
 }
-_SECONDS = {"HOUR": 3600, "MINUTE": 60, "SECOND": 1}
+#: Microseconds in a part.
+MICROS = {"HOUR": 3_600_000_000, "MINUTE": 60_000_000, "SECOND": 1_000_000, "MILLISECOND": 1000, "MICROSECOND": 1}
 
 
 def _epoch(c: Column) -> Column:
@@ -32,8 +34,8 @@ def date_diff(part: str, a: Column, b: Column) -> Column:
     if p == "WEEK":  # weeks begin on Sunday
         sunday = lambda c: F.date_sub(F.to_date(c), F.dayofweek(c) - 1)
         return F.floor(F.datediff(sunday(b), sunday(a)) / 7).cast("int")
-    unit = _SECONDS[p] * 1_000_000
-    return (F.floor(_epoch(b) / unit) - F.floor(_epoch(a) / unit)).cast("int")
+    crossed = F.floor(_epoch(b) / MICROS[p]) - F.floor(_epoch(a) / MICROS[p])
+    return crossed.cast("int" if p in ("HOUR", "MINUTE", "SECOND") else "long")
 
 
 def elapsed_diff(part: str, a: Column, b: Column) -> Column:
@@ -41,8 +43,7 @@ def elapsed_diff(part: str, a: Column, b: Column) -> Column:
     p = PARTS[part.lower()]
     if p in ("YEAR", "MONTH"):
         return date_diff(part, a, b)
-    unit = {"DAY": 86400, **_SECONDS}[p] * 1_000_000
-    return F.round((_epoch(b) - _epoch(a)) / unit).cast("int")
+    return F.round((_epoch(b) - _epoch(a)) / {"DAY": 86_400_000_000, **MICROS}[p]).cast("int" if p in ("DAY", "HOUR", "MINUTE", "SECOND") else "long")
 
 
 def canonical(c: Column, kind: T.DataType) -> Column:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from ..model import TYPES, Catalog, Entry, Field, Relation
 from ..sqltext import translate_expression, translate_query, translate_routine
-from ..sqltext.expressions import quote_path
+from ..sqltext.expressions import Untranslatable, quote_path
 from ..sqltext.tokens import text_of, tokenize
 from ..types import convert_collation, convert_type, to_spark
 
@@ -213,7 +213,11 @@ def plan_ddl(db: Catalog, target: str = "spark") -> tuple[list[Step], list[str]]
             steps.append(Step("foreign_key", k.name, f"ALTER TABLE {q(t.name)} ADD CONSTRAINT {q(short_name(k.name))} FOREIGN KEY ({names(k.fields)}) REFERENCES {q(k.other)} ({names(k.other_fields)}){actions}"))
         steps += [Step("check", c.name, f"ALTER TABLE {q(t.name)} ADD CONSTRAINT {q(short_name(c.name or 'ck_' + hashlib.md5(c.condition.encode()).hexdigest()[:8]))} CHECK ({translate_expression(strip_default(c.condition), db.dialect, target, bits=own)[0]})") for c in t.of("check")]
     for v in db.views:
-        select, notes = translate_query(view_select(v.query), db.dialect, target, bits=bits) if db.dialect != target else (view_select(v.query), [])
+        try:
+            select, notes = translate_query(view_select(v.query), db.dialect, target, bits=bits) if db.dialect != target else (view_select(v.query), [])
+        except Untranslatable as e:
+            warnings.append(f"view {v.name} is left out: {e}")
+            continue
         warnings += notes
         if v.stored and target == "postgres":
             steps.append(Step("view", v.name, f"CREATE MATERIALIZED VIEW {q(v.name)} AS {select}"))

@@ -330,6 +330,22 @@ def e01_top_in_one_arm(spark, d):
     return _run_tsql(spark, d, "SELECT k FROM (SELECT TOP 5 s_suppkey AS k FROM dbo.supplier ORDER BY s_suppkey) a UNION ALL SELECT n_nationkey FROM dbo.nation", ["supplier", "nation"])
 
 
+@query("SELECT o_orderkey, o_custkey FROM (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) AS r, count(*) OVER () AS n FROM orders WHERE o_orderstatus = 'O') WHERE r <= ceil(n * 10 / 100.0)")
+def e01_top_percent(spark, d):
+    return _run_tsql(spark, d, "SELECT TOP 10 PERCENT o_orderkey, o_custkey FROM dbo.orders WHERE o_orderstatus = 'O' ORDER BY o_orderkey", ["orders"])
+
+
+@query("SELECT p_partkey, p_size FROM (SELECT p_partkey, p_size, rank() OVER (ORDER BY p_size DESC) AS r FROM part) WHERE r <= 7")
+def e01_top_with_ties(spark, d):
+    return _run_tsql(spark, d, "SELECT TOP (7) WITH TIES p_partkey, p_size FROM dbo.part ORDER BY p_size DESC", ["part"])
+
+
+@query("SELECT event_id, ts + INTERVAL 250 MILLISECOND AS later, datediff('millisecond', ts, TIMESTAMP '2024-03-05 23:30:00') AS ms, CAST(dayofweek(ts) AS INTEGER) AS dow FROM events")
+def f10_milliseconds(spark, d):
+    e = _tsql(spark, d, "events", {"event_id": "event_id", "later": "DATEADD(ms, 250, ts)", "ms": "DATEDIFF(millisecond, ts, CAST('2024-03-05 23:30:00' AS DATETIME2))", "ts": "ts"})
+    return e.select("event_id", "later", "ms", F.expr(translate_expression("extract(dow from ts)::integer", "postgres", "spark")[0]).alias("dow"))
+
+
 # ---- routines and triggers ----
 
 

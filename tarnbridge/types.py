@@ -28,9 +28,10 @@ _SPARK = {
     "smallserial": T.ShortType(), "tinyint": T.ShortType(), "bit": T.BooleanType(), "boolean": T.BooleanType(), "bool": T.BooleanType(), "money": T.DecimalType(19, 4), "smallmoney": T.DecimalType(10, 4), "float": T.DoubleType(),
     "double precision": T.DoubleType(), "real": T.FloatType(), "date": T.DateType(), "datetime": T.TimestampNTZType(), "smalldatetime": T.TimestampNTZType(), "datetime2": T.TimestampNTZType(), "timestamp without time zone": T.TimestampNTZType(),
     "datetimeoffset": T.TimestampType(), "timestamptz": T.TimestampType(), "timestamp with time zone": T.TimestampType(), "binary": T.BinaryType(), "varbinary": T.BinaryType(), "image": T.BinaryType(), "bytea": T.BinaryType(),
-    "time": T.LongType(), "timetz": T.LongType(), "time with time zone": T.LongType(), "time without time zone": T.LongType(),
+    
 }
-_TEXT = frozenset("varchar nvarchar char nchar text ntext sysname uniqueidentifier uuid xml json jsonb bpchar".split()) | {"character varying", "character"}
+#: A time of day stays text: a Spark type for it is not on by default.
+_TEXT = frozenset("time timetz varchar nvarchar char nchar text ntext sysname uniqueidentifier uuid xml json jsonb bpchar".split()) | {"character varying", "character", "time with time zone", "time without time zone"}
 _SIZED = {"varchar": T.VarcharType, "nvarchar": T.VarcharType, "character varying": T.VarcharType, "char": T.CharType, "nchar": T.CharType, "character": T.CharType, "bpchar": T.CharType}
 
 

@@ -55,8 +55,7 @@ def test_strings_and_comments_are_never_rewritten():
 
 def test_top_and_bits():
     assert translate_query("SELECT TOP(5) a FROM t")[0] == translate_query("SELECT TOP 5 a FROM t")[0] == "SELECT a FROM t LIMIT 5"
-    text, warnings = translate_query("SELECT TOP 5 PERCENT a FROM t")
-    assert "PERCENT" not in text and warnings
+    assert translate_query("SELECT TOP 5 PERCENT a FROM t")[0] == "SELECT * EXCEPT (__rank, __rows) FROM (SELECT a, ROW_NUMBER() OVER (ORDER BY NULL) AS __rank, COUNT(*) OVER () AS __rows FROM t) WHERE __rank <= CEIL(__rows * 5 / 100.0) ORDER BY __rank"
     assert translate_expression("b <> 1 AND b IN (0, 1)", bits=["b"])[0] == "b <> TRUE AND b IN (FALSE, TRUE)"
     assert translate_expression("a + 1 + b", integers=["a", "b"])[0] == "a + 1 + b"
 
@@ -240,3 +239,34 @@ def test_break_and_continue_leave_and_repeat_the_innermost_loop(spark):
     p = translate_routine("CREATE PROCEDURE dbo.p AS BEGIN DECLARE @i INT = 0, @odd INT = 0; WHILE 1 = 1 BEGIN SET @i = @i + 1; IF @i > 6 BREAK; IF @i % 2 = 0 CONTINUE; SET @odd = @odd + @i END SELECT @i AS i, @odd AS odd END")
     assert not p.warnings
     assert tuple(spark.sql(p.sql).first()) == (7, 9)
+
+
+def test_postgres_queries_for_sql_server():
+    to = lambda q: translate_query(q, "postgres", "tsql", strings=["s"])[0]
+    assert to("SELECT a FROM t ORDER BY a LIMIT 10") == "SELECT TOP (10) a FROM t ORDER BY a" and to("SELECT DISTINCT a FROM t LIMIT 3") == "SELECT DISTINCT TOP (3) a FROM t"
+    assert to("SELECT a FROM t ORDER BY a LIMIT 10 OFFSET 20") == "SELECT a FROM t ORDER BY a OFFSET 20 ROWS FETCH NEXT 10 ROWS ONLY"
+    assert to("SELECT a FROM t OFFSET 5") == "SELECT a FROM t ORDER BY (SELECT NULL) OFFSET 5 ROWS" and to("SELECT a FROM t LIMIT ALL") == "SELECT a FROM t"
+    assert to("SELECT a FROM t UNION SELECT b FROM u ORDER BY a LIMIT 4") == "SELECT TOP (4) * FROM (SELECT a FROM t UNION SELECT b FROM u) AS limited ORDER BY a"
+    assert to("WITH RECURSIVE q AS (SELECT 1 AS x LIMIT 1) SELECT x FROM q LIMIT 2") == "WITH q AS (SELECT TOP (1) 1 AS x) SELECT TOP (2) x FROM q"
+    assert to("SELECT a::text, x.b::numeric(10,2), 'p' || s FROM x WHERE s ilike 'q%'") == "SELECT CAST(a AS NVARCHAR(MAX)), CAST(x.b AS NUMERIC(10,2)), 'p' + s FROM x WHERE s LIKE 'q%'"
+    e = lambda q, target="tsql": translate_expression(q, "postgres", target)[0]
+    assert e("position('a' in f(b, 'x in y'))") == "CHARINDEX('a', f(b, 'x in y'))" and e("overlay(a placing 'x' from 1 for 2)") == "STUFF(a, 1, 2, 'x')" and e("OVERLAY(a PLACING 'xy' FROM 3)") == "STUFF(a, 3, LEN('xy'), 'xy')"
+    assert e("substring(a from 2 for 3)") == "SUBSTRING(a, 2, 3)" and e("extract(year from at)") == "DATEPART(YEAR, at)" and "DATEDIFF_BIG(MICROSECOND" in e("EXTRACT(EPOCH FROM at)") and e("strpos(a, 'b')") == "CHARINDEX('b', a)"
+    assert e("CAST(a AS timestamp without time zone)", "spark") == "CAST(a AS TIMESTAMP_NTZ)" and e("extract(dow from at)", "spark") == "(DAYOFWEEK(at) - 1)"
+
+
+def test_what_has_no_counterpart_is_refused():
+    for body in ("BEGIN DECLARE c CURSOR FOR SELECT a FROM t OPEN c END", "BEGIN SELECT 1 AS x GOTO done END"):
+        t = translate_routine(f"CREATE PROCEDURE dbo.p AS {body}")
+        assert (t.kind, t.sql) == ("refused", "") and t.warnings
+    assert translate_routine("CREATE FUNCTION dbo.f(@n INT) RETURNS @r TABLE (a INT) AS BEGIN IF @n > 1 INSERT INTO @r SELECT 1 RETURN END").kind == "refused"
+    with pytest.raises(UnsupportedStatement):
+        convert_sql("SELECT DISTINCT TOP 5 PERCENT a FROM t", "mssql_to_spark", "dml")
+    assert translate_expression("FORMAT(a, 'N2')")[1]
+
+
+def test_names_and_times():
+    assert translate_expression("[a]]b] + 1")[0] == "`a]b` + 1" and to_spark("time", "tsql")[0] == T.StringType()
+    assert "DATEADD" not in translate_expression("DATEADD(ms, 5, a)")[0] and not translate_expression("DATEDIFF(millisecond, a, b)")[1]
+    t = convert_sql("CREATE TABLE t (a text[], b int)", "postgres_to_mssql")
+    assert any("text[]" in w for w in t.warnings) and "[a]" not in t.sql
