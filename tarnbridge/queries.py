@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from .functions import date_diff, elapsed_diff
 from .model import Catalog, Field, Relation, Span, columns_frame, computed
-from .operators import changes, load, quality, verify
+from .operators import changes, load, quality, triggers, verify
 from .sources import ParquetEndpoint, extract_model, scan
 from .sqltext import translate_expression, translate_query, translate_routine
 
@@ -143,7 +143,7 @@ def v04_pair_columns(spark, d):
     return verify.pair(columns_frame(spark, s), columns_frame(spark, t)).select("key", "status")
 
 
-@query("SELECT * FROM (VALUES ('customer', 5), ('events', 6), ('lineitem', 11), ('nation', 3), ('orders', 6), ('part', 6), ('region', 2), ('supplier', 4)) AS v(table_name, n_columns)")
+@query("SELECT table_name, CAST(count(*) AS INTEGER) AS n_columns FROM duckdb_columns() WHERE table_name IN (" + ", ".join(f"'{t}'" for t in _TABLES) + ") AND NOT internal GROUP BY table_name")
 def vs09_column_counts(spark, d):
     db = extract_model(ParquetEndpoint(spark, d), manifest={})
     rows = [(t.name, c.name) for t in db.tables for c in t.fields if t.name in _TABLES]
@@ -371,17 +371,38 @@ def r07_procedure_script(spark, d):
     return spark.sql(p.sql)
 
 
-@query("SELECT o_orderkey, 'U' AS action, o_orderstatus AS old_status, 'X' AS new_status FROM orders WHERE o_orderkey % 101 = 5")
-def g01_audit_trigger(spark, d):
+_TRIGGER = """CREATE TRIGGER dbo.tr ON dbo.orders AFTER UPDATE, DELETE AS BEGIN SET NOCOUNT ON
+IF UPDATE(o_orderstatus) INSERT INTO audit (o_orderkey, action, old_status, new_status) SELECT i.o_orderkey, N'U', d.o_orderstatus, i.o_orderstatus FROM inserted i JOIN deleted d ON d.o_orderkey = i.o_orderkey
+IF NOT EXISTS (SELECT 1 FROM inserted) INSERT INTO audit (o_orderkey, action, old_status, new_status) SELECT o_orderkey, 'D', o_orderstatus, NULL FROM deleted END"""
+_ROW_TRIGGER = (
+    "CREATE TRIGGER tr AFTER UPDATE OR DELETE ON public.orders FOR EACH ROW EXECUTE FUNCTION note()",
+    """CREATE FUNCTION note() RETURNS trigger LANGUAGE plpgsql AS $$ BEGIN
+IF TG_OP = 'UPDATE' THEN INSERT INTO audit (o_orderkey, action, old_status, new_status) VALUES (NEW.o_orderkey, 'U', OLD.o_orderstatus, NEW.o_orderstatus);
+ELSE INSERT INTO audit (o_orderkey, action, old_status, new_status) VALUES (OLD.o_orderkey, 'D', OLD.o_orderstatus, NULL); END IF; RETURN NULL; END $$""",
+)
+
+
+def _audited(spark, d, trigger) -> DataFrame:
+    """What the trigger notes of an update and a delete."""
     orders = read(spark, d, "orders")
     rows = orders.filter("o_orderkey % 101 = 5").withColumn("o_orderstatus", F.lit("X"))
+    out = []
+    for batch in (changes.update_batch("orders", orders, rows, ["o_orderkey"]), changes.delete_batch("orders", orders, orders.filter("o_orderkey % 50 = 7"), ["o_orderkey"])):
+        out.append(changes.apply_change(orders, batch, ["o_orderkey"], [trigger.handler])[1]["audit"])
+    return out[0].union(out[1])
+
+
+_AUDIT = "SELECT o_orderkey, 'U' AS action, o_orderstatus AS old_status, 'X' AS new_status FROM orders WHERE o_orderkey % 101 = 5 UNION ALL SELECT o_orderkey, 'D', o_orderstatus, NULL FROM orders WHERE o_orderkey % 50 = 7"
+
+
+@query(_AUDIT)
+def g01_audit_trigger(spark, d):
+    return _audited(spark, d, triggers.tsql_trigger(_TRIGGER, ["o_orderkey"]))
 
-    def audit(batch: changes.ChangeBatch) -> None:
-        batch.add("audit", batch.sql("SELECT i.o_orderkey, N'U' AS action, d.o_orderstatus AS old_status, i.o_orderstatus AS new_status FROM inserted i JOIN deleted d ON d.o_orderkey = i.o_orderkey"))
 
-    batch = changes.update_batch("orders", orders, rows, ["o_orderkey"])
-    _, added = changes.apply_change(orders, batch, ["o_orderkey"], [changes.Handler(frozenset({"UPDATE"}), audit)])
-    return added["audit"]
+@query(_AUDIT)
+def g07_row_trigger(spark, d):
+    return _audited(spark, d, triggers.postgres_trigger(*_ROW_TRIGGER, ["o_orderkey"]))
 
 
 @query("SELECT o_orderstatus, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 101 = 5 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders) GROUP BY 1")
