@@ -39,16 +39,17 @@ def shared_dir(spark: SparkSession) -> str:
     return set_to
 
 
-#: Rows in one file of a written frame, where their number is known.
-ROWS_A_FILE = 250_000
+#: Rows in one file of a written frame, where their number is known; and rows that a task with work to do should have at least.
+ROWS_A_FILE, ROWS_A_TASK = 250_000, 5_000
 
 
 def few_files(df: DataFrame, rows: int, work: bool = True) -> DataFrame:
     """df in no more partitions than so many rows are worth: each file that is written costs several calls of the file system.
 
-    With work, the last stage computes something, and keeps two tasks for each core.
+    With work, the last stage computes something: it keeps two tasks for each core, and small tasks however many rows there are.
     """
-    return df.coalesce(max(1 + rows // ROWS_A_FILE, 2 * df.sparkSession.sparkContext.defaultParallelism if work else 1))
+    least = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(1 + rows // ROWS_A_TASK, least) if work else 1 + rows // ROWS_A_FILE)
 
 
 def cut(df: DataFrame, rows: int | None = None, work: bool = True) -> DataFrame:
