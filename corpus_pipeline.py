@@ -29,7 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, by NEAR of the shingles of SHINGLE words: the one with the smallest doc_id.
+    """One document of each group of near copies, found by SimHash and held to NEAR of the shingles of SHINGLE words: the one with the smallest doc_id.
 
     Null ids come last, then content decides; texts without words are copies of each other; of repeated rows one stays.
     """

@@ -1,21 +1,27 @@
-"""Near copies by the resemblance of their word shingles: all documents whose Jaccard similarity reaches a threshold.
-
-SimHash blocks cannot reach that far: pairs of similarity 0.8 differ in up to 11 of 64 bits. So candidates share one of
-BANDS keys, each of ROWS of a set's MINIMA smallest hashes under random orders: a pair of similarity 0.8 shares none with
-probability 6e-5, a closer one with far less. Equal shingle sets are one node.
-
-Nodes that keys connect make a family, which is the unit of comparing: a set travels once or a few times, not once a
-pair. A family of at most `block` nodes is compared in one task, pair by pair, but only pairs that share a key, have
-sizes that allow the similarity, and are not connected yet. A larger one is cut into blocks by hash, and each two
-blocks meet in a task. Before that, its node with the most company is compared with all others; what then is of its
+"""Near copies by SimHash whose word shingles are alike: all documents whose Jaccard similarity reaches a threshold.
+
+op10's 64 bits and distance of 2 cannot reach that far: pairs of similarity 0.8 differ in 3 to 11 of 64 bits. So a SimHash
+of a shingle set has BITS bits here, the first 64 of them as op10 makes them, and pigeonhole blocks of `width` of its bits,
+drawn anew for each deal, are the keys: two sets that differ in fewer bits than a deal has blocks share one for certain,
+those of similarity 0.8 (155 of 1024 bits) share none of 128 with probability 4e-5, closer ones with far less. Sets
+that share a key meet there with CHECK bits; those within the distance make a group. Blocks grow by a bit and keys by a
+fifth where documents double, so that a key's pairs do not become more. Sets of at most SMALL shingles, whose bits are
+coarse, also share keys made of the shingles themselves. Equal shingle sets are one node.
+
+Nodes that groups connect make a family, which is the unit of comparing: a set travels once or a few times, not once a
+pair. A family of at most `block` nodes is compared in one task, pair by pair, but only pairs whose SimHashes are within
+the distance, have sizes that allow the similarity, and are not connected yet. A larger one is cut into blocks by hash,
+and each two blocks meet in a task. Before that, its node with the most company is compared with all others; what then is of its
 largest component need not be compared within itself. So a group of n copies near each other costs about n comparisons.
-A family over `family` nodes falls apart into the nodes of each key, which are treated in the same way. All pairs that
-share a key and are not connected otherwise are compared on their whole sets; none is left out.
+A family over `family` nodes falls apart into the nodes of each group, which are treated in the same way. All pairs that
+share a group and are not connected otherwise are compared on their whole sets; none is left out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +32,12 @@ from pyspark.sql import types as T
 from .common import cut, few_or_not, first_of_each, freed, identified, workers_find_us
 from .near_copies import SEED, components
 
-MINIMA, BANDS, ROWS = 128, 40, 6
+#: Bits of a SimHash, and those that meet in a key.
+BITS, CHECK = 1024, 128
+#: Shingles up to which a set also has keys made of them; nodes of a key from which on connected ones are set aside before others are compared.
+SMALL, MANY = 5, 1024
+#: Nodes that meet in a task at a time.
+MEETING = 250_000
 #: Nodes and shingles in a block, nodes in a family that is compared as a whole.
 BLOCK, BLOCK_SHINGLES, FAMILY = 256, 1_000_000, 4096
 
@@ -48,26 +59,50 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(both) - shared) if len(both) else 1.0
 
 
-class Sketcher:
-    """The BANDS keys of a set: each a hash of ROWS of its minima, which ones is drawn once."""
+_rng = np.random.default_rng(SEED)
+TURN, SPREAD = _rng.integers(0, 2**64, BITS // 64, np.uint64), _rng.integers(0, 2**63, BITS // 64, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def simhash(grams: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of 64-bit hashes in BITS bits: a bit is 1 if set in over half of them. Words behind the first mix each hash anew."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(grams), 255):
+        h = grams[at : at + 255, None]
+        x = (h ^ TURN) * SPREAD
+        x = (x ^ (x >> np.uint64(32))) * SPREAD[0]
+        x ^= x >> np.uint64(29)
+        x[:, :1] = h
+        ones += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(grams), bitorder="little").view("<u8")
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of SimHashes, word by word in the last axis."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.uint16)
 
-    def __init__(self):
-        rng = np.random.default_rng(SEED)
-        self.turn = rng.integers(0, 2**64, (MINIMA, 1), np.uint64)
-        self.spread = rng.integers(0, 2**63, (MINIMA, 1), np.uint64) * np.uint64(2) + np.uint64(1)
-        deals = [rng.permutation(MINIMA)[: MINIMA // ROWS * ROWS].reshape(-1, ROWS) for _ in range(-(-BANDS * ROWS // (MINIMA // ROWS * ROWS)))]
-        self.members = np.concatenate(deals)[:BANDS]
 
-    def keys(self, grams: np.ndarray) -> np.ndarray:
-        """None of the empty set."""
-        from xxhash import xxh64_intdigest
+def flips(similarity: float) -> float:
+    """The share of bits that differ between sets of that Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
-        if not len(grams):
-            return np.empty(0, np.int64)
-        least = np.full(MINIMA, np.iinfo(np.uint64).max)
-        for at in range(0, len(grams), 1024):
-            np.minimum(least, ((grams[at : at + 1024] ^ self.turn) * self.spread).min(axis=1), out=least)
-        return np.array([xxh64_intdigest(least[m].tobytes(), i) for i, m in enumerate(self.members)], np.uint64).view(np.int64)
+
+def width_and_keys(rows: int, similarity: float) -> tuple[int, int]:
+    """Bits in a block, so that about 2^9 of so many rows share one by chance at most; and keys, so that 13.5 are shared at that similarity."""
+    width = max(14, math.ceil(math.log2(max(rows, 1))) - 9)
+    return width, math.ceil(13.5 / -math.log1p(-((1 - flips(similarity)) ** width)))
+
+
+def deal(width: int, keys: int) -> np.ndarray:
+    """The bits of each key. In each run of BITS // width keys no bit comes twice."""
+    rng, whole = np.random.default_rng(SEED), BITS // width
+    return np.concatenate([rng.permutation(BITS)[: whole * width].reshape(whole, width) for _ in range(-(-keys // whole))])[:keys]
+
+
+def small_keys(grams: np.ndarray, similarity: float) -> list[int]:
+    """Keys of small sets: two of which one has one shingle more than the other share one, if they are similar enough."""
+    n = len(grams)
+    own = [grams] if 0 < n < SMALL and n / (n + 1) >= similarity else []
+    return [_node(x) for x in own + ([np.delete(grams, i) for i in range(n)] if 1 < n <= SMALL and (n - 1) / n >= similarity else [])]
 
 
 def _node(grams: np.ndarray) -> int:
@@ -76,43 +111,148 @@ def _node(grams: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(grams.tobytes(), SEED)).view(np.int64))
 
 
-def _sketches(rows: DataFrame, shingle: int) -> DataFrame:
-    """(id, h, node, keys) for every row of (id, h, text)."""
-    schema = T.StructType([*rows.schema.fields[:2], T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+def _sketches(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(id, h, node, bits, small) for every row of (id, h, text): the SimHash, null without words, and the keys of a small set."""
+    schema = T.StructType([*rows.schema.fields[:2], T.StructField("node", T.LongType()), T.StructField("bits", T.BinaryType()), T.StructField("small", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketcher = Sketcher()
         for batch in freed(batches):
-            nodes, keys = [], []
+            nodes, bits, small = [], [], []
             for text in batch.column(2):
                 grams = shingles((text.as_py() or "").encode(), shingle)
                 nodes.append(_node(grams))
-                keys.append(sketcher.keys(grams))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "h", "node", "keys"])
+                bits.append(simhash(grams).tobytes() if len(grams) else None)
+                small.append(small_keys(grams, similarity))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(nodes, pa.int64()), pa.array(bits, pa.binary()), pa.array(small, pa.list_(pa.int64()))], names=["id", "h", "node", "bits", "small"])
 
     return rows.mapInArrow(run, schema)
 
 
+#: What meets in a key.
+ENTRY = np.dtype([("key", "<u4"), ("node", "<i8"), ("check", "<u8", (CHECK // 64,))])
+
+
+def groups_of_keys(entries: np.ndarray, distance: int, many: int = MANY) -> tuple[np.ndarray, np.ndarray]:
+    """(group, node) of the nodes that share a key and are connected there by pairs within distance of their CHECK bits.
+
+    A group's number is made of its nodes, so groups that several keys find are the same. In keys of more than
+    many nodes a node is compared only with those that are not connected yet: n copies near each other cost about n comparisons.
+    """
+    entries = entries[np.lexsort((entries["node"], entries["key"]))]
+    key, node = entries["key"], entries["node"]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+    key, node, check = key[new], node[new], entries["check"][new]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))[: len(key)]
+    length = np.diff(np.append(starts, len(key)))
+    left = np.repeat(starts + length, length) - np.arange(len(key))
+    label = np.arange(len(key))
+    for start, size in zip(starts[length > many].tolist(), length[length > many].tolist(), strict=True):
+        free = np.arange(start, start + size)
+        while len(free):
+            root, front, free = free[0], free[:1], free[1:]
+            while len(front) and len(free):
+                some = max(1, 1_000_000 // len(free))
+                hit = (apart(check[front[:some], None], check[free]) <= distance).any(axis=0)
+                label[free[hit]] = root
+                front, free = np.concatenate([front[some:], free[hit]]), free[~hit]
+    at, pairs = np.flatnonzero(np.repeat(length, length) <= many), []
+    for step in range(1, int(length[length <= many].max(initial=0))):
+        at = at[left[at] > step]
+        near = at[apart(check[at], check[at + step]) <= distance]
+        if len(near):
+            pairs.append(np.stack([near, near + step]))
+    if pairs:
+        i, j = np.concatenate(pairs, axis=1)
+        while True:
+            least = np.minimum(label[i], label[j])
+            before = label.copy()
+            for end in (i, j):
+                np.minimum.at(label, end, least)
+            label = label[label]
+            if (label == before).all():
+                break
+    order = np.argsort(label, kind="stable")
+    first = np.flatnonzero(np.append(True, label[order][1:] != label[order][:-1]))[: len(order)]
+    if not len(first):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    size = np.diff(np.append(first, len(order)))
+    mixed = node[order].view(np.uint64) * SPREAD[1]
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * SPREAD[2]
+    group = np.repeat(np.add.reduceat(mixed ^ (mixed >> np.uint64(32)), first), size).view(np.int64)
+    shared = np.repeat(size, size) > 1
+    return group[shared], node[order][shared]
+
+
+def _groups(rows: DataFrame, similarity: float, n: int) -> DataFrame:
+    """(key, node) of the groups of _sketches' rows, of which there are n. A task holds the nodes of a few keys at a time, packed into bytes."""
+    width, keys = width_and_keys(n, similarity)
+    bits_of, parts = deal(width, keys), 1 + n // MEETING
+    share = flips(similarity)
+    distance = int(share * CHECK + 4.6 * math.sqrt(share * (1 - share) * CHECK))
+
+    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = 1 << np.arange(width, dtype=np.uint32)
+        for batch in freed(batches):
+            words = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(batch.num_rows, -1)
+            entries = np.empty(len(words), ENTRY)
+            entries["node"], entries["check"] = batch.column(0).to_numpy(), words[:, : CHECK // 64]
+            _, once = np.unique(entries["node"], return_index=True)
+            entries = entries[once]
+            bits = np.ascontiguousarray(np.unpackbits(words[once].view(np.uint8), axis=1, bitorder="little").T)
+            for number, mine in enumerate(bits_of):
+                entries["key"] = sum(bits[b] * w for b, w in zip(mine, weights, strict=True))
+                part = entries["key"] % parts
+                order = np.argsort(part, kind="stable")
+                edges = [0, *(np.flatnonzero(np.diff(part[order])) + 1).tolist(), len(order)]
+                packed, at = entries[order], [(a, b) for a, b in pairwise(edges) if a < b]
+                yield pa.RecordBatch.from_arrays([pa.array([number * parts + int(part[order[a]]) for a, _ in at], pa.int32()), pa.array([packed[a:b].tobytes() for a, b in at], pa.binary())], names=["meeting", "entries"])
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+
+        def found() -> pa.RecordBatch:
+            groups = groups_of_keys(np.frombuffer(b"".join(held), ENTRY), distance)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in groups], names=["key", "node"])
+
+        last = None
+        for batch in freed(batches):
+            for meeting, entries in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if held and meeting != last:
+                    yield found()
+                last = meeting
+                held.append(entries.as_py())
+        if held:
+            yield found()
+
+    packed = rows.select("node", "bits").filter("bits IS NOT NULL").mapInArrow(spread, "meeting int, entries binary")
+    met = packed.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(meet, "key long, node long")
+    small = rows.filter(F.size("small") > 0).select("node", F.explode("small").alias("key")).distinct()
+    shared = small.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    return met.union(small.join(shared, "key", "left_semi").select("key", "node")).distinct()
+
+
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(node, size, keys, grams) for every row of (text): the last two as bytes of 64-bit integers."""
+    """(node, size, bits, grams) for every row of (text): the last two as bytes of 64-bit integers."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketcher = Sketcher()
         for batch in freed(batches):
             sets = [shingles((text.as_py() or "").encode(), shingle) for text in batch.column(0)]
-            columns = [pa.array([_node(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([sketcher.keys(x).tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "keys", "grams"])
+            columns = [pa.array([_node(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([simhash(x).tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "bits", "grams"])
 
-    return texts.mapInArrow(run, "node long, size long, keys binary, grams binary")
+    return texts.mapInArrow(run, "node long, size long, bits binary, grams binary")
 
 
-def links_in_cell(x: int, y: int, place: np.ndarray, node: np.ndarray, root: np.ndarray, keys: np.ndarray, grams: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+def links_in_cell(x: int, y: int, place: np.ndarray, node: np.ndarray, root: np.ndarray, bits: np.ndarray, grams: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Pairs (smaller node, larger) of blocks x and y, or within x if they are one, that connect what is not connected yet."""
     a, b = np.flatnonzero(place == x), np.flatnonzero(place == y)
     size = np.array([len(g) for g in grams])
-    near = np.zeros((len(a), len(b)), bool)
-    for band in range(keys.shape[1]):
-        near |= keys[a, band][:, None] == keys[b, band][None, :]
+    differ = np.zeros((len(a), len(b)), np.uint16)
+    for word in range(bits.shape[1]):
+        differ += np.bitwise_count(bits[a, word][:, None] ^ bits[b, word][None, :])
+    near = differ <= 1.65 * flips(similarity) * BITS
     near &= np.minimum(size[a][:, None], size[b]) >= np.maximum(size[a][:, None], size[b]) * similarity - 1e-6
     near &= root[a][:, None] != root[b]
     if x == y:
@@ -145,8 +285,8 @@ def _compare(cells: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             rows = pa.Table.from_batches(held).combine_chunks()
             held.clear()
             x, y, place, node, root = (rows[c].to_numpy() for c in ("x", "y", "place", "node", "root"))
-            keys = np.frombuffer(b"".join(rows["keys"].to_pylist()), "<i8").reshape(len(node), -1)
-            found = links_in_cell(x[0], y[0], place, node, root, keys, [np.frombuffer(g, "<u8") for g in rows["grams"].to_pylist()], similarity)
+            bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), "<u8").reshape(len(node), -1)
+            found = links_in_cell(x[0], y[0], place, node, root, bits, [np.frombuffer(g, "<u8") for g in rows["grams"].to_pylist()], similarity)
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         last = None
@@ -163,7 +303,7 @@ def _compare(cells: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         if held:
             yield links()
 
-    rows = cells.join(sets.drop("size"), "node").select(*cell, "place", "node", "root", "keys", "grams")
+    rows = cells.join(sets.drop("size"), "node").select(*cell, "place", "node", "root", "bits", "grams")
     return rows.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(run, "a long, b long")
 
 
@@ -214,11 +354,9 @@ def drop_resembling(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     workers_find_us(docs.sparkSession)
     named = identified(docs)
     text = F.col("doc.text").cast("string").alias("text")
-    rows = cut(_sketches(named.select("id", "h", text), shingle))
+    rows = cut(_sketches(named.select("id", "h", text), shingle, similarity))
     n = rows.count()
-    keyed = rows.select("node", F.explode("keys").alias("key"))
-    held = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("key")
-    shared = cut(keyed.join(few_or_not(cut(held, n)), "key", "left_semi").distinct(), n)
+    shared = cut(_groups(rows, similarity, n), n)
     # one row stands for each node
     wanted = few_or_not(cut(shared.select("node").distinct(), n))
     chosen = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "h")).alias("r"))
