@@ -9,18 +9,21 @@ fifth where documents double, so that a key's pairs do not become more. Sets of
 coarse, also share keys made of the shingles themselves. Equal shingle sets are one node.
 
 Nodes that groups connect make a family, which is the unit of comparing: a set travels once or a few times, not once a
-pair. A family of at most `block` nodes is compared in one task, pair by pair, but only pairs whose SimHashes are within
-the distance, have sizes that allow the similarity, and are not connected yet. A larger one is cut into blocks by hash,
-and each two blocks meet in a task. Before that, its node with the most company is compared with all others; what then is of its
+pair. Each key deals the nodes of a large family to other groups, so it would be told of once a key and node. But one
+key in EARLY goes first; in the others nodes meet under the least node that these have connected them to, and a group
+tells only which of those names it connects, mostly none. Families are the same as if all keys told all. A family of at
+most `block` nodes is compared in one task, pair by pair, but only pairs whose SimHashes are within the distance, have
+sizes that allow the similarity, and are not connected yet. A larger one is cut into blocks by hash, and each two
+blocks meet in a task. Before that, its node with the most company is compared with all others; what then is of its
 largest component need not be compared within itself. So a group of n copies near each other costs about n comparisons.
-A family over `family` nodes falls apart into the nodes of each group, which are treated in the same way. All pairs that
-share a group and are not connected otherwise are compared on their whole sets; none is left out.
+A family over `family` nodes falls apart into the nodes of each group, which are treated in the same way. All pairs
+that share a group and are not connected otherwise are compared on their whole sets; none is left out.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -36,6 +39,8 @@ from .near_copies import SEED, components
 BITS, CHECK = 1024, 128
 #: Shingles up to which a set also has keys made of them; nodes of a key from which on connected ones are set aside before others are compared.
 SMALL, MANY = 5, 1024
+#: One key in so many goes first and names the nodes that it connects.
+EARLY = 8
 #: Nodes that meet in a task at a time.
 MEETING = 250_000
 #: Nodes and shingles in a block, nodes in a family that is compared as a whole.
@@ -132,36 +137,40 @@ def _sketches(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
 ENTRY = np.dtype([("key", "<u4"), ("node", "<i8"), ("check", "<u8", (CHECK // 64,))])
 
 
-def groups_of_keys(entries: np.ndarray, distance: int, many: int = MANY) -> tuple[np.ndarray, np.ndarray]:
-    """(group, node) of the nodes that share a key and are connected there by pairs within distance of their CHECK bits.
+def _connected(entries: np.ndarray, distance: int, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, node, label), once for each key and node, in that order: label is the place of the least node of the same key that pairs within distance of their CHECK bits connect it to.
 
-    A group's number is made of its nodes, so groups that several keys find are the same. In keys of more than
-    many nodes a node is compared only with those that are not connected yet: n copies near each other cost about n comparisons.
+    A node may come with several CHECK bits, which are connected. In keys of more than many entries one is compared only
+    with those that are not connected yet: n copies near each other cost about n comparisons.
     """
     entries = entries[np.lexsort((entries["node"], entries["key"]))]
-    key, node = entries["key"], entries["node"]
+    key, node, check = entries["key"], entries["node"], entries["check"]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-    key, node, check = key[new], node[new], entries["check"][new]
+    own = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
     starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))[: len(key)]
     length = np.diff(np.append(starts, len(key)))
     left = np.repeat(starts + length, length) - np.arange(len(key))
-    label = np.arange(len(key))
-    for start, size in zip(starts[length > many].tolist(), length[length > many].tolist(), strict=True):
+    several = np.add.reduceat(new, starts, dtype=np.int64) > 1 if len(key) else np.empty(0, bool)
+    label = own.copy()
+    for start, size in zip(starts[several & (length > many)].tolist(), length[several & (length > many)].tolist(), strict=True):
         free = np.arange(start, start + size)
         while len(free):
-            root, front, free = free[0], free[:1], free[1:]
+            root = own[free[0]]
+            front, free = free[own[free] == root], free[own[free] != root]
             while len(front) and len(free):
                 some = max(1, 1_000_000 // len(free))
-                hit = (apart(check[front[:some], None], check[free]) <= distance).any(axis=0)
+                hit = np.isin(own[free], own[free[(apart(check[front[:some], None], check[free]) <= distance).any(axis=0)]])
                 label[free[hit]] = root
                 front, free = np.concatenate([front[some:], free[hit]]), free[~hit]
-    at, pairs = np.flatnonzero(np.repeat(length, length) <= many), []
-    for step in range(1, int(length[length <= many].max(initial=0))):
+    few = several & (length <= many)
+    at, pairs = np.flatnonzero(np.repeat(few, length)), []
+    for step in range(1, int(length[few].max(initial=0))):
         at = at[left[at] > step]
-        near = at[apart(check[at], check[at + step]) <= distance]
+        near = at[own[at] != own[at + step]]
+        near = near[apart(check[near], check[near + step]) <= distance]
         if len(near):
-            pairs.append(np.stack([near, near + step]))
+            pairs.append(own[np.stack([near, near + step])])
     if pairs:
         i, j = np.concatenate(pairs, axis=1)
         while True:
@@ -172,6 +181,15 @@ def groups_of_keys(entries: np.ndarray, distance: int, many: int = MANY) -> tupl
             label = label[label]
             if (label == before).all():
                 break
+    return key[new], node[new], (np.cumsum(new) - 1)[label[new]]
+
+
+def groups_of_keys(entries: np.ndarray, distance: int, many: int = MANY) -> tuple[np.ndarray, np.ndarray]:
+    """(group, node) of the nodes that share a key and are connected there by pairs within distance of their CHECK bits.
+
+    A group's number is made of its nodes, so groups that several keys find are the same.
+    """
+    _, node, label = _connected(entries, distance, many)
     order = np.argsort(label, kind="stable")
     first = np.flatnonzero(np.append(True, label[order][1:] != label[order][:-1]))[: len(order)]
     if not len(first):
@@ -184,11 +202,28 @@ def groups_of_keys(entries: np.ndarray, distance: int, many: int = MANY) -> tupl
     return group[shared], node[order][shared]
 
 
-def _groups(rows: DataFrame, similarity: float, n: int) -> DataFrame:
-    """(key, node) of the groups of _sketches' rows, of which there are n. A task holds the nodes of a few keys at a time, packed into bytes."""
+def members_of_keys(entries: np.ndarray, distance: int, many: int = MANY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, node, company) of the nodes of each group of each key: its least node and its size."""
+    _, node, label = _connected(entries, distance, many)
+    company = np.bincount(label, minlength=len(label))[label]
+    return node[label][company > 1], node[company > 1], company[company > 1]
+
+
+def edges_of_keys(entries: np.ndarray, distance: int, many: int = MANY) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b), a < b, each once, that connect the nodes of each group of each key: all with its least node."""
+    _, node, label = _connected(entries, distance, many)
+    pairs = np.unique(np.stack([node[label], node])[:, node[label] != node], axis=1)
+    return pairs[0], pairs[1]
+
+
+def _meetings(nodes: DataFrame, similarity: float, n: int, numbers: range | None, told: Callable[..., tuple[np.ndarray, ...]], names: list[str]) -> DataFrame:
+    """What told finds in the entries of each meeting of nodes (node, bits): those of one key's number, a few of its values at a time. A task holds one meeting at a time, packed into bytes.
+
+    n: how many rows the keys are made for. numbers: of the keys; None: all.
+    """
     width, keys = width_and_keys(n, similarity)
-    bits_of, parts = deal(width, keys), 1 + n // MEETING
-    share = flips(similarity)
+    parts, share = 1 + n // MEETING, flips(similarity)
+    dealt = [(number, mine) for number, mine in enumerate(deal(width, keys)) if numbers is None or number in numbers]
     distance = int(share * CHECK + 4.6 * math.sqrt(share * (1 - share) * CHECK))
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,10 +232,8 @@ def _groups(rows: DataFrame, similarity: float, n: int) -> DataFrame:
             words = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(batch.num_rows, -1)
             entries = np.empty(len(words), ENTRY)
             entries["node"], entries["check"] = batch.column(0).to_numpy(), words[:, : CHECK // 64]
-            _, once = np.unique(entries["node"], return_index=True)
-            entries = entries[once]
-            bits = np.ascontiguousarray(np.unpackbits(words[once].view(np.uint8), axis=1, bitorder="little").T)
-            for number, mine in enumerate(bits_of):
+            bits = np.ascontiguousarray(np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").T)
+            for number, mine in dealt:
                 entries["key"] = sum(bits[b] * w for b, w in zip(mine, weights, strict=True))
                 part = entries["key"] % parts
                 order = np.argsort(part, kind="stable")
@@ -212,9 +245,9 @@ def _groups(rows: DataFrame, similarity: float, n: int) -> DataFrame:
         held: list[bytes] = []
 
         def found() -> pa.RecordBatch:
-            groups = groups_of_keys(np.frombuffer(b"".join(held), ENTRY), distance)
+            columns = told(np.frombuffer(b"".join(held), ENTRY), distance)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in groups], names=["key", "node"])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=names)
 
         last = None
         for batch in freed(batches):
@@ -226,11 +259,34 @@ def _groups(rows: DataFrame, similarity: float, n: int) -> DataFrame:
         if held:
             yield found()
 
-    packed = rows.select("node", "bits").filter("bits IS NOT NULL").mapInArrow(spread, "meeting int, entries binary")
-    met = packed.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(meet, "key long, node long")
-    small = rows.filter(F.size("small") > 0).select("node", F.explode("small").alias("key")).distinct()
-    shared = small.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    return met.union(small.join(shared, "key", "left_semi").select("key", "node")).distinct()
+    packed = nodes.select("node", "bits").filter("bits IS NOT NULL").mapInArrow(spread, "meeting int, entries binary")
+    return packed.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(meet, ", ".join(f"{c} long" for c in names))
+
+
+def _small(nodes: DataFrame) -> DataFrame:
+    """(key, node) of the keys that small sets share."""
+    small = nodes.filter(F.size("small") > 0).select("node", F.explode("small").alias("key"))
+    return small.join(small.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key", "left_semi").select("key", "node")
+
+
+def _groups(nodes: DataFrame, similarity: float, n: int) -> DataFrame:
+    """(key, node) of the groups of nodes (node, bits, small), by keys made for n rows."""
+    return _meetings(nodes, similarity, n, None, groups_of_keys, ["key", "node"]).union(_small(nodes)).distinct()
+
+
+def _families(nodes: DataFrame, similarity: float, n: int) -> tuple[DataFrame, DataFrame]:
+    """(node, family) of all nodes (node, bits, small) that groups connect, and (node, company) of those that the early keys do: the sizes of their groups. n: about how many there are."""
+    keys = width_and_keys(n, similarity)[1]
+    early = -(-keys // EARLY)
+    members = cut(_meetings(nodes, similarity, n, range(early), members_of_keys, ["a", "node", "company"]), n)
+    known = cut(members.groupBy("node").agg(F.min("a").alias("a"), F.sum("company").alias("company")), n)
+    named = nodes.join(few_or_not(known.filter("a < node").select("node", "a")), "node", "left").select(F.coalesce("a", "node").alias("node"), "bits")
+    late = _meetings(named, similarity, n, range(early, keys), edges_of_keys, ["a", "node"])
+    small = _small(nodes)
+    small = small.join(small.groupBy("key").agg(F.min("node").alias("a")), "key").select("a", "node")
+    edges = members.select("a", "node").union(late).union(small).filter("a < node").distinct().withColumnRenamed("node", "b")
+    found = components(edges, n)
+    return found.select("node", F.col("root").alias("family")).union(found.select("root", "root").distinct()), known.select("node", "company")
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -323,17 +379,16 @@ def _cells(members: DataFrame, block: int, block_shingles: int) -> DataFrame:
     return rows.select(*group, F.least("place", "meets").alias("x"), F.greatest("place", "meets").alias("y"), "place", "node", "root")
 
 
-def _links(shared: DataFrame, sets: DataFrame, similarity: float, block: int, block_shingles: int, family: int, rows: int) -> DataFrame:
-    """(node, root) of the components that all similar pairs of shared (key, node) make."""
-    first = shared.groupBy("key").agg(F.min("node").alias("a"))
-    families = components(shared.join(first, "key").filter("a < node").select("a", F.col("node").alias("b")).distinct(), rows)
-    nodes = shared.groupBy("key").agg(F.count("*").alias("company")).join(shared, "key").groupBy("node").agg(F.sum("company").alias("company"))
-    placed = cut(nodes.join(families, "node", "left").select("node", "company", F.coalesce("root", "node").alias("family")).join(sets.select("node", "size"), "node"), rows)
+def _links(nodes: DataFrame, families: DataFrame, company: DataFrame, sets: DataFrame, similarity: float, block: int, block_shingles: int, family: int, rows: int) -> DataFrame:
+    """(node, root) of the components that all similar pairs of nodes that share a group make."""
+    placed = cut(families.join(company, "node", "left").select("node", F.coalesce("company", F.lit(0)).alias("company"), "family").join(sets.select("node", "size"), "node"), rows)
     sized = placed.groupBy("family").agg(F.count("*").alias("n"))
     large = placed.join(sized.filter(F.col("n") > family), "family").select("node", "size", "company")
     whole = placed.join(sized.filter(F.col("n") <= family), "family").select(F.lit(0).alias("kind"), F.col("family").alias("group"), "node", "size", "company")
-    by_key = shared.join(large, "node").select(F.lit(1).alias("kind"), F.col("key").alias("group"), "node", "size", "company")
-    members = cut(whole.union(by_key), rows)
+    if not large.isEmpty():
+        shared = _groups(nodes.join(large.select("node"), "node", "left_semi"), similarity, rows)
+        whole = whole.union(shared.join(large, "node").select(F.lit(1).alias("kind"), F.col("key").alias("group"), "node", "size", "company"))
+    members = cut(whole, rows)
 
     group = ["kind", "group"]
     many = members.groupBy(*group).agg(F.count("*").alias("n"), F.max(F.struct("company", "node")).alias("most")).filter(F.col("n") > block)
@@ -356,12 +411,14 @@ def drop_resembling(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     text = F.col("doc.text").cast("string").alias("text")
     rows = cut(_sketches(named.select("id", "h", text), shingle, similarity))
     n = rows.count()
-    shared = cut(_groups(rows, similarity, n), n)
+    nodes = cut(rows.filter("bits IS NOT NULL").select("node", "bits", "small").dropDuplicates(["node"]), n)
+    families, company = _families(nodes, similarity, n)
+    families = cut(families, n)
     # one row stands for each node
-    wanted = few_or_not(cut(shared.select("node").distinct(), n))
+    wanted = few_or_not(families.select("node"))
     chosen = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "h")).alias("r"))
     chosen = few_or_not(cut(chosen.select(F.col("r.id").alias("id_"), F.col("r.h").alias("h_")), n))
     texts = named.join(chosen, F.col("id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_")), "left_semi").select(text)
     sets = cut(_sets(texts, shingle).dropDuplicates(["node"]), n)
-    found = _links(shared, sets, similarity, block, block_shingles, family, n)
+    found = _links(nodes, families, company, sets, similarity, block, block_shingles, family, n)
     return first_of_each(named, rows.join(found, "node", "left").select("id", "h", F.coalesce("root", "node").alias("root")), n)
