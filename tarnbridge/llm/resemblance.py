@@ -16,8 +16,9 @@ most `block` nodes is compared in one task, pair by pair, but only pairs whose S
 sizes that allow the similarity, and are not connected yet. A larger one is cut into blocks by hash, and each two
 blocks meet in a task. Before that, its node with the most company is compared with all others; what then is of its
 largest component need not be compared within itself. So a group of n copies near each other costs about n comparisons.
-A family over `family` nodes falls apart into the nodes of each group, which are treated in the same way. All pairs
-that share a group and are not connected otherwise are compared on their whole sets; none is left out.
+A family over `family` nodes falls apart into the nodes of each group, which are treated in the same way, where its
+groups have fewer pairs in all than itself. All pairs that share a group and are not connected otherwise are compared
+on their whole sets; none is left out.
 """
 
 from __future__ import annotations
@@ -382,9 +383,11 @@ def _cells(members: DataFrame, block: int, block_shingles: int) -> DataFrame:
 def _links(nodes: DataFrame, families: DataFrame, company: DataFrame, sets: DataFrame, similarity: float, block: int, block_shingles: int, family: int, rows: int) -> DataFrame:
     """(node, root) of the components that all similar pairs of nodes that share a group make."""
     placed = cut(families.join(company, "node", "left").select("node", F.coalesce("company", F.lit(0)).alias("company"), "family").join(sets.select("node", "size"), "node"), rows)
-    sized = placed.groupBy("family").agg(F.count("*").alias("n"))
-    large = placed.join(sized.filter(F.col("n") > family), "family").select("node", "size", "company")
-    whole = placed.join(sized.filter(F.col("n") <= family), "family").select(F.lit(0).alias("kind"), F.col("family").alias("group"), "node", "size", "company")
+    # pairs of the family, and of the groups that all keys make of it, as the early ones tell
+    n, pairs = F.count("*").cast("double"), F.sum("company") * F.lit(float(EARLY))
+    sized = placed.groupBy("family").agg(((n > family) & (n * n > pairs)).alias("apart"))
+    large = placed.join(sized.filter("apart"), "family").select("node", "size", "company")
+    whole = placed.join(sized.filter("NOT apart"), "family").select(F.lit(0).alias("kind"), F.col("family").alias("group"), "node", "size", "company")
     if not large.isEmpty():
         shared = _groups(nodes.join(large.select("node"), "node", "left_semi"), similarity, rows)
         whole = whole.union(shared.join(large, "node").select(F.lit(1).alias("kind"), F.col("key").alias("group"), "node", "size", "company"))

@@ -2,10 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tarnbridge.llm import resemblance
 
-from .test_resemblance import slow_firsts
+from .test_resemblance import slow_firsts, texts_of
 
 WORDS = np.array([f"w{i}" for i in range(500)])
 
@@ -64,6 +65,24 @@ def test_names_of_early_keys_change_no_family(many):
     assert len(set(want.values())) < 200
 
 
+def test_families_that_fall_apart_into_groups(spark, monkeypatch):
+    """As where groups have fewer pairs than the family."""
+    texts, inner = texts_of(np.random.default_rng(3)), resemblance._families
+    monkeypatch.setattr(resemblance, "_families", lambda *a: (inner(*a)[0], inner(*a)[1].withColumn("company", F.lit(0))))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in resemblance.drop_resembling(docs, block=4, family=8).collect()) == slow_firsts(texts)
+
+
+def test_large_family_with_large_groups_stays_whole(spark, monkeypatch):
+    """Sets do not travel once for each of 128 keys."""
+    texts, counts = edited_copies(np.random.default_rng(2), 200), []
+    inner = resemblance._cells
+    monkeypatch.setattr(resemblance, "_cells", lambda *a: counts.append((out := inner(*a)).count()) or out)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in resemblance.drop_resembling(docs, block=64, family=100).collect()) == slow_firsts(texts)
+    assert max(counts) <= 10 * 200
+
+
 def test_meetings_of_strangers_tell_nothing():
     lone = np.zeros(1, resemblance.ENTRY)
     assert [len(x) for told in (resemblance.members_of_keys, resemblance.edges_of_keys, resemblance.groups_of_keys) for x in told(lone, 38)] == [0] * 7
